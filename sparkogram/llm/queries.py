@@ -6,9 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from sparkogram.llm import bpe_trie
+from sparkogram.llm.decontam_sam import contamination_report
 from sparkogram.llm.minhash_tensor import near_duplicates
+from sparkogram.llm.quality_qda import quality_scores
+from sparkogram.llm.quality_rules import quality_report
 from sparkogram.llm.substring_rlz import substring_report
-from sparkogram.runtime import table
+from sparkogram.llm.textstats import text_counts
+from sparkogram.runtime import cut, table
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary file; a parameter of the operator, never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def bucket(modulus: int):
+    """crc32 of the id as text, modulo ``modulus``: the folds of the labelled rows."""
+    return F.expr(f"crc32(cast(doc_id as string)) % {modulus}")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from rows outside fold 0 of 5."""
+    counts = cut(text_counts(table(spark, sf_dir, "documents", "doc_id", "text")), "counts")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    got = quality_scores(counts, labels, train=bucket(5) != 0, threshold=0.3)
+    return got.select("doc_id", (bucket(5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +43,36 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=5, percent=85)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in all documents, windows of 10 words."""
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return contamination_report(table(spark, sf_dir, "documents", "doc_id", "text"), items, window=10)
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the learned decision list's verdict on all documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality_report(docs, labels, cut(text_counts(docs), "counts"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that also start in a smaller document."""
     return substring_report(table(spark, sf_dir, "documents", "doc_id", "text"), min_words=50)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests."""
+    return bpe_trie.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_minhash": op4_minhash,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_rules": op6_rules,
     "op7_substring": op7_substring,
+    "op9_bpe": op9_bpe,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,6 +96,29 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+""",
+    "op5_decontaminate": rf"""
+WITH q AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS t
+  FROM q, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS g(i) WHERE len(ws) > 0
+), sizes AS (SELECT DISTINCT n FROM win
+), d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), dw AS (
+  SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS t
+  FROM d, sizes, unnest(generate_series(1, len(ws) - n + 1)) AS g(i) WHERE len(ws) >= n
+), hit AS (SELECT doc_id, i, win.n, item FROM dw JOIN win ON win.t = dw.t AND win.n = dw.n
+), words AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM hit, unnest(generate_series(0, n - 1)) AS g(k) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.t, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
     "op7_substring": r"""
 WITH w AS (
