@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sparkogram.llm import bpe_trie
+from sparkogram.llm import bpe_trie, warc
+from sparkogram.llm.chat_format import link_events, turn_events
 from sparkogram.llm.decontam_sam import contamination_report
 from sparkogram.llm.minhash_tensor import near_duplicates
 from sparkogram.llm.quality_qda import quality_scores
 from sparkogram.llm.quality_rules import quality_report
 from sparkogram.llm.substring_rlz import substring_report
 from sparkogram.llm.textstats import text_counts
+from sparkogram.llm.toxicity_weak import toxicity_scores
+from sparkogram.llm.url_filter import filter_urls
 from sparkogram.runtime import cut, table
 
 
@@ -38,6 +41,29 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (bucket(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from rows outside fold 2 of 4."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    got = toxicity_scores(docs, labels, train=bucket(4) != 2, threshold=0.3)
+    return got.select("doc_id", (bucket(4) == 2).alias("held_out"), "score", "predicted")
+
+
+#: Host, path prefix and verdict of the URL rules.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, 5-word shingles, Jaccard 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=5, percent=85)
@@ -61,23 +87,79 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents", "doc_id", "text"), min_words=50)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
     return bpe_trie.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+#: Arguments of the call that a user's turn makes.
+CHAT_SCHEMA = [("reply", "text", "string", True), ("reply", "turn", "integer", True)]
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered, validated and serialised turns of all conversations."""
+    schema = spark.createDataFrame(CHAT_SCHEMA, "name string, field string, type string, required boolean")
+    return link_events(turn_events(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), schema)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
+    "op3_urls": op3_urls,
     "op4_minhash": op4_minhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_rules": op6_rules,
     "op7_substring": op7_substring,
+    "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
+    "op10_chat": op10_chat,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_urls": r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
+  ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), fit AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS k
+  FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE k = 1
+""",
+    "op10_chat": r"""
+WITH e AS (
+  SELECT conv_id, turn::BIGINT AS turn, role, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN turn::VARCHAR WHEN 'assistant' THEN (turn - 1)::VARCHAR END AS id FROM conversations
+), j AS (
+  SELECT e.*, o.turn AS other FROM e LEFT JOIN e o
+  ON o.conv_id = e.conv_id AND o.id = e.id AND o.kind <> e.kind AND e.kind <> 'message' AND o.kind <> 'message'
+), s AS (
+  SELECT *, CASE WHEN kind = 'message' THEN 'message' WHEN other IS NOT NULL THEN 'linked'
+    WHEN kind = 'call' THEN 'pending' ELSE 'orphan' END AS status FROM j
+)
+SELECT conv_id, turn, role, kind, id,
+  CASE WHEN kind = 'result' THEN greatest(turn, coalesce(other, turn)) ELSE turn END AS place,
+  CASE kind WHEN 'message' THEN 0 WHEN 'call' THEN 1 ELSE 2 END AS rank, status, '' AS errors,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || id
+      || '","name":"reply","status":"' || status || '","type":"call"}'
+    WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"id":"' || id || '","role":"assistant","status":"'
+      || status || '","type":"result"}'
+    ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '","type":"message"}' END AS json
+FROM s
+""",
     "op4_minhash": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
