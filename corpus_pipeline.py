@@ -1,14 +1,65 @@
-"""Corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, BPE."""
+"""Corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, BPE.
+
+Each stage gets the table that the stage before it kept, and its decisions take
+effect on texts: rejected documents and near-duplicates go, repeated spans and
+benchmark spans are cut out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkogram.llm.bpe_trie import encode
+from sparkogram.llm.decontam_sam import decontaminate
+from sparkogram.llm.minhash_tensor import drop_near_duplicates
+from sparkogram.llm.quality_rules import keep_good
+from sparkogram.llm.queries import tokenizer_path
+from sparkogram.llm.substring_rlz import remove_repeated_spans
+from sparkogram.llm.textstats import text_counts
 from sparkogram.runtime import cut, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base checks or the decision list learned from ``labels``."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return keep_good(docs, labels, cut(text_counts(docs), "counts"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest document of each near-duplicate component."""
+    return drop_near_duplicates(docs, k=5, percent=85)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out passages of 50 words and more that a smaller document has."""
+    return _measured(remove_repeated_spans(docs, min_words=50))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out benchmark passages; drop documents that are benchmark for the larger part."""
+    return _measured(decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), window=10, max_coverage=0.5))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): the training sequences."""
+    return encode(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("bpe", bpe),
+]
 
 #: BPE has no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
