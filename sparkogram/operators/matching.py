@@ -129,14 +129,38 @@ def unit(v: str) -> F.Column:
     return F.when(norm > 1e-10, F.transform(v, lambda x: x / norm)).otherwise(F.col(v))
 
 
-def cosine_scores(vectors: DataFrame) -> DataFrame:
-    """Cosine of every ordered pair of image vectors (image_id, v): one vector per image, all pairs asked for."""
-    u = vectors.select("image_id", unit("v").alias("v"))
-    return (
-        u.select(F.col("image_id"), F.col("v").alias("va"))
-        .join(u.select(F.col("image_id").alias("other_id"), F.col("v").alias("vb")), F.expr("image_id <> other_id"))
-        .select("image_id", "other_id", dot("va", "vb").alias("score"))
-    )
+def _block_top(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i in range(batch.num_rows):
+                ids = [np.asarray(batch.column(c)[i].values) for c in (0, 2)]
+                a, b = (np.asarray(batch.column(c)[i].values).reshape(len(x), -1) for c, x in zip((1, 3), ids, strict=True))
+                s = a @ b.T
+                s[ids[0][:, None] == ids[1][None, :]] = -np.inf
+                n = min(k, s.shape[1])
+                best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(n), (len(s), 1))
+                out.append((np.repeat(ids[0], n), ids[1][best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["image_id", "other_id", "score"])
+
+    return run
+
+
+def cosine_top(vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(image_id, other_id, score): candidates that hold every image's k most similar others.
+
+    Vectors are packed into blocks; each pair of blocks is one matrix product that
+    hands on only its k best per row, so what is shuffled is k rows per image and
+    block, never the similarity matrix.
+    """
+    u = vectors.select(F.col("image_id").cast("long").alias("image_id"), unit("v").alias("v"))
+    n = max(1, -(-u.count() // block))
+    packed = u.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(n)).alias("b")).agg(F.array_sort(F.collect_list(F.struct("image_id", "v"))).alias("r"))
+    packed = packed.select("b", F.col("r.image_id").alias("ids"), F.flatten("r.v").alias("v"))
+    left = packed.select(F.col("ids").alias("ids_a"), F.col("v").alias("v_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
+    pairs = left.join(packed, "b").select("ids_a", "v_a", "ids", "v")
+    return pairs.mapInArrow(_block_top(k), "image_id long, other_id long, score double").where("image_id <> other_id")
 
 
 def term_counts(words: DataFrame) -> DataFrame:
@@ -215,7 +239,7 @@ def candidate_pairs(keypoints: DataFrame, strategy: str = "exhaustive", window:
         return band_pairs(images.withColumn("rank", F.row_number().over(W.orderBy("image_id")).cast("long")), window)
     if strategy in ("vocab_tree", "retrieval") and images.count() > top_k + 1:
         if strategy == "retrieval":
-            return top_pairs(cosine_scores(vectors), top_k)
+            return top_pairs(cosine_top(vectors, top_k), top_k)
         words = nearest_word(keypoints, build_vocabulary(keypoints, n_words))
         return top_pairs(sparse_scores(tfidf(term_counts(words))), top_k)
     return all_pairs(images)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sparkogram.operators.components import connected_components
 
 XYZ = ("x", "y", "z")
+_SIDES_SQL = "array(named_struct('p', a, 'q', b), named_struct('p', b, 'q', c), named_struct('p', c, 'q', a))"
 
 
 def edges(faces: DataFrame) -> DataFrame:
     """Undirected edges (fid, u, v) with u < v, three per face."""
-    e = faces.select("fid", F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct("b", "c"), F.struct("c", "a"))).alias("e"))
+    e = faces.select("fid", F.explode(F.expr(_SIDES_SQL)).alias("e"))
     return e.select("fid", F.least("e.p", "e.q").alias("u"), F.greatest("e.p", "e.q").alias("v"))
 
 
@@ -31,7 +32,7 @@ def edge_topology(faces: DataFrame) -> DataFrame:
 
 def orientable(faces: DataFrame) -> DataFrame:
     """One row: does every directed edge occur once?"""
-    d = faces.select(F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct("b", "c"), F.struct("c", "a"))).alias("e"))
+    d = faces.select(F.explode(F.expr(_SIDES_SQL)).alias("e"))
     n = d.groupBy("e.p", "e.q").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("m"))
     return n.select((F.col("m") == 1).alias("oriented"))
 
@@ -142,7 +143,7 @@ def fill_holes(faces: DataFrame, vertices: DataFrame, max_edges: int = 200) -> t
     The directed boundary edge (p, q) of a face becomes the face (q, p, centre).
     """
     f = faces
-    d = f.select(F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct("b", "c"), F.struct("c", "a"))).alias("e")).select("e.p", "e.q")
+    d = f.select(F.explode(F.expr(_SIDES_SQL)).alias("e")).select("e.p", "e.q")
     k = d.select("p", "q", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
     once = k.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n = 1")
     cc = connected_components(once, "u", "v")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkogram.runtime import cut
+
 
 def first_observations(obs: DataFrame, order: list[str]) -> DataFrame:
     """The first observation of every (image, point) in a total order."""
@@ -75,9 +77,10 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     Rows are range partitioned by the key, ranked inside their range, and shifted
     by the number of rows in smaller ranges (one row per partition).
     """
-    parts = df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
+    # written out, because a second run of a range exchange may choose other bounds
+    parts = cut(df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()), "ranges")
     ranked = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key)))
-    sizes = ranked.groupBy("_p").agg(F.max("_r").alias("_n"), F.min(key).alias("_k"))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_k"))
     shift = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     out = ranked.join(F.broadcast(shift), "_p").withColumn(name, (F.col("_r") + F.col("_s") - 1).cast("long"))
     return out.drop("_p", "_r", "_s")

@@ -39,8 +39,7 @@ def loop_pairs(cameras: DataFrame, existing: DataFrame, centre: list[float] | No
     """
     centre = axes_centre(cameras) if centre is None else centre
     d0 = F.sqrt(sum((F.col(f"c{c}") - F.lit(float(v))) ** 2 for c, v in zip(XYZ, centre, strict=True)))
-    row = cameras.agg(F.count("*").alias("n"), F.expr("percentile(d, 0.5)").alias("r")) if "d" in cameras.columns else cameras.withColumn("d", d0).agg(F.count("*").alias("n"), F.expr("percentile(d, 0.5)").alias("r"))
-    got = row.first()
+    got = cameras.select(d0.alias("d")).agg(F.count("*").alias("n"), F.expr("percentile(d, 0.5)").alias("r")).first()
     spark = cameras.sparkSession
     if got["n"] < 3 or not got["r"]:
         return spark.createDataFrame([], "img_i long, img_j long, score double")
