@@ -54,7 +54,7 @@ def signature_batches(m: int, r: int, k: int):
                 s = shingle_set(text.as_py(), k)
                 size.append(len(s))
                 if not len(s):
-                    hi.append(0), lo.append(0), groups.append([])
+                    hi.append(0), lo.append(0), groups.append(np.empty(0, np.int64))
                     continue
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 hi.append((digest >> 64) - (1 << 63))
