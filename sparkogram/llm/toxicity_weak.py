@@ -84,8 +84,10 @@ def _vote_batches(voters: list[bytes]):
 VOTES = "doc_id long, n_words long, votes array<int>"
 
 
-def mine_voters(train: DataFrame, support: int = 8, purity: float = 0.7, most: int = 400, candidates: int = 4000) -> list[bytes]:
-    """Terms of at least ``support`` toxic training documents that are mostly in toxic ones.
+def mine_voters(
+    train: DataFrame, support: int = 8, purity: float = 0.7, most: int = 400, candidates: int = 4000
+) -> list[tuple[bytes, int, int]]:
+    """(term, toxic, all) of terms of at least ``support`` toxic training documents that are mostly in toxic ones.
 
     Two passes: frequent terms of toxic texts, then their counts in all training texts.
     """
@@ -99,7 +101,7 @@ def mine_voters(train: DataFrame, support: int = 8, purity: float = 0.7, most: i
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n")
     )
     good = got.where(F.col("p") >= F.lit(purity) * F.col("n")).orderBy(F.desc(F.col("p") * F.col("p") / F.col("n")), "term").limit(most)
-    return [bytes(r["term"]) for r in good.collect()]
+    return [(bytes(r["term"]), r["p"], r["n"]) for r in good.collect()]
 
 
 @dataclass(frozen=True)
@@ -120,23 +122,31 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation on a 0/1 vote matrix; starts from "any vote means toxic"."""
+def fit_label_model(votes: np.ndarray, prior: float, mined: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation on a 0/1 vote matrix.
+
+    Voters that never fire together would leave it open which of them mean the
+    class, so firing rates have priors: ``mined`` rates on toxic and on other
+    texts, worth as much as the data, or weakly that voters beat chance.
+    """
     n, m = votes.shape
+    fires0, false0 = mined if mined is not None else (np.full(m, 0.3), np.full(m, 0.01))
+    worth = 1.0 if mined is not None else 0.05
     post = np.where(votes.any(axis=1), 0.9, 0.02)
     model = None
     for _ in range(rounds):
         pos, neg = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-        fires = np.clip((post @ votes + 0.5) / (pos + 1), 1e-4, 1 - 1e-4)
-        false = np.clip(((1 - post) @ votes + 0.01) / (neg + 1), 1e-6, 1 - 1e-4)
-        centred = (votes - fires) * np.sqrt(post)[:, None]
+        most_pos, most_neg = worth * max(prior * n, 1.0), worth * max((1 - prior) * n, 1.0)
+        fires = np.clip((post @ votes + most_pos * fires0) / (pos + most_pos), 1e-4, 1 - 1e-4)
+        false = np.clip(((1 - post) @ votes + most_neg * false0) / (neg + most_neg), 1e-6, 1 - 1e-4)
+        centred = (votes - post @ votes / pos) * np.sqrt(post)[:, None]
         cov = centred.T @ centred / pos
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / np.outer(sd, sd), -1, 1)
         weight = 1 / np.maximum(np.where(corr > 0.1, corr, 0).sum(axis=1), 1.0)
-        share = np.clip((post.sum() + prior * 10) / (n + 10), 1e-3, 0.5)
+        share = float(np.clip((post.sum() + prior * n) / (2 * n), 1e-3, 0.5))
         accuracy = fires * share / (fires * share + false * (1 - share))
-        model = LabelModel(fires, false, accuracy, weight, corr, float(share))
+        model = LabelModel(fires, false, accuracy, weight, corr, share)
         new = model.posterior(votes)
         if np.abs(new - post).max() < 1e-6:
             break
@@ -202,15 +212,17 @@ def toxicity_scores(
     one = one.where("label is not null and doc_id is not null").where(train).groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = cut(src.join(picked, "doc_id").dropDuplicates(["doc_id"]), "train")
-    voters = mine_voters(rows, **mining)
-    weights = None
+    mined = mine_voters(rows, **mining)
+    voters, weights = [v for v, _, _ in mined], None
     if voters:
         got = rows.select("doc_id", "text").mapInArrow(_vote_batches(voters), VOTES).orderBy("doc_id").toPandas()
         votes = np.zeros((len(got), len(voters)))
         for i, v in enumerate(got["votes"]):
             votes[i, v] = 1
-        share = rows.agg(F.avg("label")).first()[0]
-        model = fit_label_model(votes, float(share))
+        toxic, total = rows.agg(F.sum((F.col("label") > 0).cast("long")), F.count("*")).first()
+        p, n = (np.array([v[i] for v in mined], float) for i in (1, 2))
+        rates = (p + 0.5) / (toxic + 1), (n - p + 0.01) / (total - toxic + 1)
+        model = fit_label_model(votes, toxic / total, rates)
         weights = fit_linear(_inputs(votes, got["n_words"].to_numpy()), model.posterior(votes))
     out = src.mapInArrow(score_batches(voters, weights), "doc_id long, score double")
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
