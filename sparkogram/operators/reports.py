@@ -151,7 +151,7 @@ def distance_summary(d: DataFrame, column: str, spacing: float | None = None) ->
 
 def number(column: str, digits: int = 2, missing: str = "n/a", suffix: str = "") -> Column:
     """Fixed-point text of a number, ``missing`` for null."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", F.col(column)), F.lit(suffix)), F.lit(missing))
+    return F.when(F.col(column).isNull(), F.lit(missing)).otherwise(F.concat(F.format_string(f"%.{digits}f", F.col(column)), F.lit(suffix)))
 
 
 def german(column: str, digits: int = 0) -> Column:
