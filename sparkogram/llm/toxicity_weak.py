@@ -27,6 +27,8 @@ from sparkogram.llm.textops import alnum_words
 from sparkogram.runtime import cut
 
 PREFIXES = (4, 5, 6, 7)
+#: Correlation from which two voters begin to count as one.
+SAME = 0.7
 
 
 def terms(text: bytes) -> set[bytes]:
@@ -85,7 +87,7 @@ VOTES = "doc_id long, n_words long, votes array<int>"
 
 
 def mine_voters(
-    train: DataFrame, support: int = 8, purity: float = 0.7, most: int = 400, candidates: int = 4000
+    train: DataFrame, support: int = 4, purity: float = 0.7, most: int = 400, candidates: int = 20_000
 ) -> list[tuple[bytes, int, int]]:
     """(term, toxic, all) of terms of at least ``support`` toxic training documents that are mostly in toxic ones.
 
@@ -100,7 +102,7 @@ def mine_voters(
     got = counts.groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n")
     )
-    good = got.where(F.col("p") >= F.lit(purity) * F.col("n")).orderBy(F.desc(F.col("p") * F.col("p") / F.col("n")), "term").limit(most)
+    good = got.where(F.col("p") >= F.lit(purity) * (F.col("n") + 1)).orderBy(F.desc(F.col("p") * F.col("p") / F.col("n")), "term").limit(most)
     return [(bytes(r["term"]), r["p"], r["n"]) for r in good.collect()]
 
 
@@ -143,7 +145,7 @@ def fit_label_model(votes: np.ndarray, prior: float, mined: tuple[np.ndarray, np
         cov = centred.T @ centred / pos
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / np.outer(sd, sd), -1, 1)
-        weight = 1 / np.maximum(np.where(corr > 0.1, corr, 0).sum(axis=1), 1.0)
+        weight = 1 / np.maximum(np.clip((corr - SAME) / (1 - SAME), 0, 1).sum(axis=1), 1.0)
         share = float(np.clip((post.sum() + prior * n) / (2 * n), 1e-3, 0.5))
         accuracy = fires * share / (fires * share + false * (1 - share))
         model = LabelModel(fires, false, accuracy, weight, corr, share)
