@@ -7,13 +7,34 @@ names in ``spark.checkpoint.dir``; executors and driver share nothing else.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package: sent along unless their path has it already."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, sc = os.path.dirname(package), spark.sparkContext
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _SHIPPED or root in map(os.path.abspath, filter(None, paths)):
+        return
+    folder = tempfile.mkdtemp(prefix="sparkogram-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/sparkogram.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", root))
+    sc.addPyFile(f"{folder}/sparkogram.zip")
+    _SHIPPED.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
