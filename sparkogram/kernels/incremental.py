@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -28,6 +28,7 @@ class Settings:
     seed: int = 0
     completion: bool = True
     ba: Options = Options()
+    local_window: int = 0
 
 
 @dataclass
@@ -191,6 +192,26 @@ class Reconstruction:
         self.log.append({"kind": "ba", "before": before, "after": after, "cameras": len(images), "points": len(used)})
         return before, after
 
+    def bundle_local(self, window: int) -> tuple[float, float]:
+        """Adjust the last ``window`` registered cameras and the points they see; intrinsics stay."""
+        images = list(self.cameras)[-window:]
+        keys = sorted(k for k in self.obs if k[0] in set(images))
+        used = sorted({p for _, p in keys})
+        if len(keys) < 8:
+            return 0.0, 0.0
+        cam, pt = {c: n for n, c in enumerate(images)}, {p: n for n, p in enumerate(used)}
+        ci, pi = np.array([cam[i] for i, _ in keys]), np.array([pt[p] for _, p in keys])
+        uv = np.array([self.features[i][self.obs[i, p]] for i, p in keys], float)
+        r, t = np.stack([self.cameras[c][0] for c in images]), np.stack([self.cameras[c][1] for c in images])
+        fixed = replace(self.settings.ba, refine_intrinsics=False)
+        r, t, x, _, before, after = adjust(r, t, np.array([self.points[p] for p in used]), ci, pi, uv, self.intr, fixed)
+        for c, n in cam.items():
+            self.cameras[c] = (r[n], t[n])
+        for p, n in pt.items():
+            self.points[p] = x[n]
+        self.log.append({"kind": "ba", "before": before, "after": after, "cameras": len(images), "points": len(used)})
+        return before, after
+
     def point_errors(self) -> dict[int, float]:
         k, total, count = self._matrix(), {}, {}
         x = np.array(self.points)
@@ -239,6 +260,8 @@ class Reconstruction:
                 if other in self.cameras:
                     new += self._add_points(image, other, a, b)
             self.log.append({"kind": "registered", "image": image, "new_points": new, "correspondences": counts[image]})
+            if self.settings.local_window:
+                self.bundle_local(self.settings.local_window)
             if (len(self.cameras) - 2) % self.settings.ba_interval == 0:
                 self.bundle()
         if len(self.points):

@@ -39,7 +39,18 @@ class Outcome:
 
 def settings(cfg: Config) -> Settings:
     ba = Options(cfg.ba_max_nfev, cfg.ba_ftol, cfg.ba_xtol, cfg.ba_gtol, fix_principal_point=cfg.ba_fix_principal_point, separate_focal=cfg.ba_separate_focal, refine_intrinsics=not cfg.no_refine_intrinsics)
-    return Settings(cfg.max_reproj_error, ba_interval=cfg.ba_interval, seed=max(cfg.seed, 0), completion=not cfg.no_track_completion, ba=ba)
+    return Settings(cfg.max_reproj_error, ba_interval=cfg.ba_interval, seed=max(cfg.seed, 0), completion=not cfg.no_track_completion, ba=ba, local_window=cfg.local_ba_window)
+
+
+def merge_tracks(verified: DataFrame) -> DataFrame:
+    """Verified pairs with one inlier per pair and track: later matches of a component are dropped and counts rewritten."""
+    flat = verified.select("img_i", "img_j", F.posexplode(F.arrays_zip("kp_i", "kp_j")).alias("ord", "m"))
+    flat = cut(flat.select("img_i", "img_j", "ord", "m.kp_i", "m.kp_j"), "inliers")
+    kept = tracks.first_match_per_component(flat, tracks.match_components(flat))
+    packed = kept.groupBy("img_i", "img_j").agg(F.array_sort(F.collect_list(F.struct("kp_i", "kp_j"))).alias("m"))
+    new = packed.select("img_i", "img_j", F.size("m").alias("n_inliers"), F.col("m.kp_i").alias("kp_i"), F.col("m.kp_j").alias("kp_j"))
+    rest = verified.drop("n_inliers", "kp_i", "kp_j").join(new, ["img_i", "img_j"])
+    return rest.select(*verified.columns)
 
 
 def gates(cfg: Config) -> dict:
@@ -121,6 +132,8 @@ def run(keypoints: DataFrame, cfg: Config, K: np.ndarray, known_focal: bool = Tr
             verified = cut(observations.upsert(verified, fresh, ["img_i", "img_j"]), "bridged")
             comps = cut(tracks.image_components(verified, images), "scene")
     verified = cut(tracks.keep_largest(verified, comps), "largest")
+    if cfg.track_merge:
+        verified = cut(merge_tracks(verified), "merged")
     if not verified.take(1):
         raise ValueError("no image pair passes verification")
     result = timed("reconstruction", lambda: cut(rec.reconstruct(verified, keypoints, K, settings(cfg)), "result"))
