@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkogram.llm.textstats import ratios
+from sparkogram.llm.textstats import bounded_sample, ratios
 
 
 def features(counts: DataFrame) -> dict[str, Column]:
@@ -90,7 +90,7 @@ def fit(train: DataFrame, x: dict[str, Column], pool: float = 0.3, ridge: float
         whiten.append(np.linalg.inv(factor))
         const.append(float(np.log(count[k] / total) - np.log(np.diag(factor)).sum()))
     model = Qda(names, (mean[0], mean[1]), (whiten[0], whiten[1]), (const[0], const[1]))
-    sample = cols.orderBy(F.xxhash64("doc_id"), "doc_id").limit(platt_rows)
+    sample = bounded_sample(cols, platt_rows)
     scored = sample.select("label", model.margin({n: F.col(n) for n in names}).alias("m")).toPandas()
     slope, shift = _platt(scored["m"].to_numpy(float), scored["label"].to_numpy(float))
     return Qda(names, model.mean, model.whiten, model.const, slope, shift)

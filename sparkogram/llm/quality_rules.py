@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkogram.llm.textstats import ratios, text_counts
+from sparkogram.llm.textstats import bounded_sample, ratios, text_counts
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def labelled(counts: DataFrame, labels: DataFrame, label: str, max_rows: int) ->
     """Statistics of at most ``max_rows`` labelled documents (by a hash order), one row per id."""
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("label is not null")
     one = one.groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = bounded_sample(one, max_rows)
     return counts.join(picked, "doc_id").dropDuplicates(["doc_id"])
 
 

@@ -98,3 +98,17 @@ def ratios(df: DataFrame) -> dict[str, object]:
         "long_words": per("n_long_words", "n_words"),
         "line_words": F.log1p(per("n_words", "n_lines")),
     }
+
+
+def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows of a table with unique doc_id, the first in a hash order.
+
+    A cut on the hash leaves little more than that before anything is sorted, so
+    no task hands on more rows than its share.
+    """
+    total = rows.count()
+    order = F.xxhash64("doc_id")
+    if total > max_rows:
+        share = min(1.0, 1.05 * max_rows / total + 200 / total)
+        rows = rows.where(order <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return rows.orderBy(order, "doc_id").limit(max_rows)

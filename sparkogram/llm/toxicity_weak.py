@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkogram.llm.textops import alnum_words
+from sparkogram.llm.textstats import bounded_sample
 from sparkogram.runtime import cut
 
 PREFIXES = (4, 5, 6, 7)
@@ -212,7 +213,7 @@ def toxicity_scores(
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label"))
     one = one.where("label is not null and doc_id is not null").where(train).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = bounded_sample(one, max_rows)
     rows = cut(src.join(picked, "doc_id").dropDuplicates(["doc_id"]), "train")
     mined = mine_voters(rows, **mining)
     voters, weights = [v for v, _, _ in mined], None
