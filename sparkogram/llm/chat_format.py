@@ -38,18 +38,19 @@ def link_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
     JSON object or break the schema).
 
     Defined results: null texts are JSON null; a null identifier links with
-    nothing; repeated rows are duplicates of the first, ties broken by the
-    event's content, exact copies sharing its status; an empty table gives no
+    nothing; repeated rows are duplicates of the first, ties broken by a hash of
+    the event's content, exact copies sharing its status; an empty table gives no
     rows; clashing extra columns are ignored.
     """
     e = events.select("conv_id", F.col("turn").cast("long").alias("turn"), "kind", "role", "id", "name", "body")
+    e = e.withColumn("print", F.xxhash64("body"))
     e = e.withColumn("rank", F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for k, n in RANK.items()), F.lit(0)))
     firsts = (
         e.where("kind in ('call', 'result') and id is not null")
         .groupBy("conv_id", "id")
         .agg(
-            F.min(F.when(F.col("kind") == "call", F.struct("turn", "name", "body"))).alias("call"),
-            F.min(F.when(F.col("kind") == "result", F.struct("turn", "body"))).alias("result"),
+            F.min(F.when(F.col("kind") == "call", F.struct("turn", "name", "print"))).alias("call"),
+            F.min(F.when(F.col("kind") == "result", F.struct("turn", "print"))).alias("result"),
         )
     )
     linked = e.join(firsts.hint("shuffle_hash"), ["conv_id", "id"], "left")
@@ -87,8 +88,8 @@ def link_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     got = got.withColumn("errors", F.array_join(errors, "; "))
     again = F.expr(
-        """(kind = 'call' and not (struct(turn, name, body) <=> call))
-           or (kind = 'result' and not (struct(turn, body) <=> result))"""
+        """(kind = 'call' and not (struct(turn, name, print) <=> call))
+           or (kind = 'result' and not (struct(turn, print) <=> result))"""
     )
     status = (
         F.when(~F.col("kind").isin("call", "result"), "message")
