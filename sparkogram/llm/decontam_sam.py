@@ -235,30 +235,58 @@ def _cut(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last two columns (text, spans): the text without its spans, in place of both."""
-    for batch in batches:
-        n = batch.num_columns
-        texts = []
-        for t, spans in zip(batch.column(n - 2).cast(pa.binary()), batch.column(n - 1), strict=True):
-            s = spans.as_py()
-            texts.append(_cut(t.as_py(), s).decode() if s else t.as_py() and t.as_py().decode())
-        yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(texts, pa.string())], names=[*batch.schema.names[: n - 1]])
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, **options) -> DataFrame:
+def cut_batches(at: int, max_coverage: float, items: list[tuple[str, list[bytes]]] | None, window: int):
+    """Rows with the text in column ``at``, without its spans; rows hit beyond the limit go.
+
+    With ``items`` the spans are found here, else they are the last column.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None if items is None else ItemAutomaton(items, window)
+        for batch in batches:
+            texts, stay = [], []
+            for i, t in enumerate(batch.column(at).cast(pa.binary())):
+                text = t.as_py()
+                if automaton is None:
+                    spans = batch.column(batch.num_columns - 1)[i].as_py() or []
+                else:
+                    spans = [{"first": a, "end": b} for a, b in automaton.spans(alnum_words(text or b""))[0]]
+                hit, n = sum(s["end"] - s["first"] for s in spans), len(alnum_words(text)) if spans else 0
+                stay.append(not spans or (hit <= max_coverage * n and hit < n))
+                texts.append(_cut(text, spans) if spans else text)
+            cols, names = batch.columns, batch.schema.names
+            cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            if automaton is None:
+                cols, names = cols[:-1], names[:-1]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay, pa.bool_()))
+
+    return run
+
+
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 10,
+    max_coverage: float = 0.5,
+    max_tokens: int = 200_000,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
     """``docs`` without benchmark spans; documents covered beyond ``max_coverage`` go whole.
 
-    Only contaminated documents are joined and rewritten; a document is dropped
-    when more than that share of its words is hit, or when no word is left.
+    A document is dropped when more than that share of its words is hit, or when
+    no word is left.  With one automaton this is a narrow pass; with several their
+    spans are united per document first.
     """
-    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    hit = contamination(docs, items, window=window, **options).where("size(spans) > 0")
-    hit = hit.withColumn("n_hit", F.expr("aggregate(spans, 0L, (acc, s) -> acc + s.end - s.first)"))
-    src = docs.select(F.col(doc_id).cast("long").alias("_hit_id"), F.col(text).alias("_text"))
-    found = hit.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_hit_id"), "spans", "n_words", "n_hit")
-    new = src.join(found, "_hit_id").dropDuplicates(["_hit_id"]).select("_hit_id", "n_words", "n_hit", "_text", "spans")
-    new = new.mapInArrow(cut_batches, "_hit_id long, n_words long, n_hit long, _text string")
-    joined = docs.join(new, F.col(doc_id).cast("long") == F.col("_hit_id"), "left")
-    joined = joined.where(F.expr(f"n_hit is null or (n_hit <= {max_coverage} * n_words and n_hit < n_words)"))
-    return joined.withColumn(text, F.coalesce("_text", text)).select(*docs.columns)
+    at = docs.columns.index(text)
+    blocks = _blocks(items, item_id, item_text, max_tokens)
+    first = next(blocks)
+    more = next(blocks, None)
+    if more is None:
+        return docs.mapInArrow(cut_batches(at, max_coverage, first, window), docs.schema)
+    found = contamination(docs, items, window, max_tokens, doc_id, text, item_id, item_text).where("size(spans) > 0")
+    found = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_hit_id"), F.col("spans").alias("_hit_spans"))
+    joined = docs.join(found, F.col(doc_id).cast("long") == F.col("_hit_id"), "left").drop("_hit_id")
+    return joined.mapInArrow(cut_batches(at, max_coverage, None, window), docs.schema)

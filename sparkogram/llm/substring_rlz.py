@@ -246,16 +246,24 @@ def splice(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def splice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to (doc_id, cut_text, n_left)."""
-    for batch in batches:
-        texts, left = [], []
-        for t, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-            text = t.as_py()
-            gone = _mask(len(text.split()), spans.as_py())
-            texts.append(splice(text, gone).decode())
-            left.append(int((~gone).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(left, pa.int64())], names=["doc_id", "cut_text", "n_left"])
+def splice_batches(at: int):
+    """Rows with the text in column ``at`` and its spans in the last one: without them, without emptied rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, left = [], []
+            for t, spans in zip(batch.column(at).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
+                text, cuts = t.as_py(), spans.as_py()
+                if cuts:
+                    gone = _mask(len(text.split()), cuts)
+                    text = splice(text, gone)
+                texts.append(text)
+                left.append(not cuts or not gone.all())
+            cols = batch.columns[:-1]
+            cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(left, pa.bool_()))
+
+    return run
 
 
 def _ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -289,17 +297,9 @@ def substring_report(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id
 def remove_repeated_spans(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``; documents left without a word go.
 
-    Only documents with spans are rewritten; all other rows and columns stay as they are.
+    Texts move once, joined with the spans of their document; all other rows and columns stay as they are.
     """
-    src = _ids(docs, doc_id, text)
-    spans = cut(repeated_spans(src, min_words), "spans")
-    new = (
-        src.where("text is not null")
-        .join(spans, "doc_id")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(splice_batches, "doc_id long, cut_text string, n_left long")
-        .dropDuplicates(["doc_id"])
-        .withColumnRenamed("doc_id", "_cut_id")
-    )
-    joined = docs.join(new, F.col(doc_id).cast("long") == F.col("_cut_id"), "left").where("n_left is null or n_left > 0")
-    return joined.withColumn(text, F.coalesce("cut_text", text)).select(*docs.columns)
+    spans = cut(repeated_spans(_ids(docs, doc_id, text), min_words), "spans")
+    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut_spans"))
+    joined = docs.join(spans, F.col(doc_id).cast("long") == F.col("_cut_id"), "left").drop("_cut_id")
+    return joined.mapInArrow(splice_batches(docs.columns.index(text)), docs.schema)

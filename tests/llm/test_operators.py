@@ -132,6 +132,8 @@ def test_decontaminate_removes_spans(spark, none):
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = found(decontam_sam.decontaminate(frame(spark, rows), items), "text")
     assert got == {1: ("Before all. ! After it all, more words here to keep it long enough indeed.",), 3: ("clean text",), 4: (None,)}
+    more = items.unionByName(spark.createDataFrame([(8, "some other text of no use at all")], "item_id long, text string"))
+    assert found(decontam_sam.decontaminate(frame(spark, rows), more, max_tokens=40), "text") == got
     assert decontam_sam.contamination_report(none, items).count() == 0
     assert decontam_sam.contamination_report(frame(spark, rows), items.limit(0)).where("contaminated").count() == 0
 
