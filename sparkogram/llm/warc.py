@@ -7,16 +7,20 @@ digests alone, so a payload that a third of all pages share moves as small rows.
 Reading: members are decoded one at a time from any offset.  When a check fails
 (gzip data or checksum, version line, header, length, block or payload digest),
 the reader searches for the next member magic or version line that decodes,
-goes on there, and logs the bytes between as a quarantined gap.
+goes on there, and logs the bytes between as a quarantined gap.  Inside a member
+the search goes over the decoded bytes, up to the damage if the gzip data fail.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -28,11 +32,17 @@ from sparkogram.runtime import cut, scratch_path
 
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CHUNK = 1 << 18
+_CHUNK, _PIECE = 1 << 18, 1 << 20
+#: Decoded bytes of a member kept in memory; larger members go through a temporary file.
+_HELD = 32 << 20
+
+
+def _base32(digest) -> str:
+    return base64.b32encode(digest.digest()).decode()
 
 
 def base32_sha1(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _base32(hashlib.sha1(data))
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -124,70 +134,150 @@ class Damaged(ValueError):
     pass
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, end) of the record at an offset; every check that its headers allow."""
-    if not data.startswith(_VERSION, at):
+class Block(NamedTuple):
+    """Where a record's block lies: its head (up to the first empty line) and its payload are read when asked for."""
+
+    read: Callable[[int, int], bytes]
+    start: int
+    split: int  # end of the head
+    body: int  # begin of the payload
+    end: int
+    payload_sha1: str | None  # known when it was checked or the headers give no digest
+    vouched: bool  # a digest of the block or payload was there and held
+    doubt: str | None = None  # what failed in its member
+
+    @property
+    def payload_bytes(self) -> int:
+        return self.end - self.body
+
+    def head(self) -> bytes:
+        return self.read(self.start, self.split - self.start)
+
+    def payload(self) -> bytes:
+        return self.read(self.body, self.end - self.body)
+
+
+def _find(read, what: bytes, at: int, size: int) -> int:
+    """The first offset of ``what`` from ``at`` on, or -1; holds a piece at a time."""
+    step = 1 << 12
+    while at < size:
+        data = read(at, step)
+        i = data.find(what)
+        if i >= 0:
+            return at + i
+        if len(data) < step:
+            break
+        at += len(data) - len(what) + 1
+        step = min(4 * step, _CHUNK)
+    return -1
+
+
+def parse_record(read, at: int, size: int) -> tuple[dict[str, str], Block, int]:
+    """(headers, block, end) of the record at an offset of ``size`` bytes; every check that its headers allow.
+
+    The block passes through its digests in pieces, so a record may have any size.
+    """
+    if read(at, len(_VERSION)) != _VERSION:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)
+    end = _find(read, b"\r\n\r\n", at, size)
     if end < 0:
         raise Damaged("header without end")
     try:
-        lines = data[at:end].decode().split("\r\n")[1:]
+        lines = read(at, end - at).decode().split("\r\n")[1:]
     except UnicodeDecodeError as e:
         raise Damaged("header is no text") from e
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    size = headers.get("content-length", "")
-    if not size.isdigit():
+    length = headers.get("content-length", "")
+    if not (length.isascii() and length.isdigit() and len(length) < 20):
         raise Damaged("no length")
     start = end + 4
-    block = data[start : start + int(size)]
-    if len(block) < int(size):
+    stop = start + int(length)
+    if stop > size:
         raise Damaged("block is cut off")
-    if data[start + len(block) : start + len(block) + 4] != b"\r\n\r\n":
+    if read(stop, 4) != b"\r\n\r\n":
         raise Damaged("record without end")
-    want = headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != base32_sha1(block):
+    want = [headers.get(f"warc-{x}-digest", "") for x in ("block", "payload")]
+    whole = hashlib.sha1() if want[0].startswith("sha1:") else None
+    check = headers.get("warc-type") == "response" and want[1].startswith("sha1:")
+    part = hashlib.sha1() if check or not want[1].removeprefix("sha1:") else None
+    split, body, tail, pos = stop, stop, b"", start
+    while pos < stop:
+        data = read(pos, min(_PIECE, stop - pos))
+        if not data:
+            raise Damaged("block is cut off")
+        if whole:
+            whole.update(data)
+        begin = 0
+        if body == stop:
+            near = tail + data
+            i = near.find(b"\r\n\r\n")
+            begin = i + 4 - len(tail) if i >= 0 else len(data)
+            if i >= 0:
+                split, body = pos - len(tail) + i, pos + begin
+            tail = near[-3:]
+        if part:
+            part.update(memoryview(data)[begin:])
+        pos += len(data)
+    if whole and want[0][5:] != _base32(whole):
         raise Damaged("block digest differs")
-    want = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and want.startswith("sha1:") and want[5:] != base32_sha1(block.partition(b"\r\n\r\n")[2]):
+    if check and want[1][5:] != _base32(part):
         raise Damaged("payload digest differs")
-    return headers, block, start + len(block) + 4
+    return headers, Block(read, start, split, body, stop, part and _base32(part), bool(whole or check)), stop + 4
 
 
 class Salvage:
-    """Iterates over the records of an archive of ``size`` bytes; ``gaps`` gets (start, end, reason)."""
+    """Iterates over the records of an archive of ``size`` bytes; ``gaps`` gets (start, end, reason).
+
+    A damaged member is a gap from end to end, and the records in it that are
+    whole are yielded all the same: those before a cut-off, and, when its data or
+    checksum fail, those of several that a digest vouches for.  No digest covers
+    headers, so the block of such a record names what failed as its ``doubt``.
+    """
 
     def __init__(self, read_at, size: int, max_record: int = 256 << 20):
         self.read_at, self.size, self.max_record = read_at, size, max_record
         self.gaps: list[tuple[int, int, str]] = []
 
-    def _member(self, at: int) -> tuple[bytes, int]:
-        unpack, out, pos, total = zlib.decompressobj(31), [], at, 0
+    def _member(self, at: int, out) -> tuple[int, str | None]:
+        """Writes the decoded member to a file; (where decoding ended, what failed)."""
+        unpack, pos, left = zlib.decompressobj(31), at, b""
+        first, total = True, 0
         while not unpack.eof:
-            chunk = self.read_at(pos, _CHUNK)
-            if not chunk:
-                raise Damaged("member is cut off")
+            if not left:
+                left = self.read_at(pos, _CHUNK)
+                pos += len(left)
+            last, before = not left, None if first else unpack.copy()
             try:
-                out.append(unpack.decompress(chunk))
+                data = unpack.decompress(left, _PIECE)
             except zlib.error as e:
-                raise Damaged(f"gzip: {e}") from e
-            pos, total = pos + len(chunk), total + len(out[-1])
+                # the failed call keeps its output: byte by byte up to the damage
+                unpack, i = before or zlib.decompressobj(31), 0
+                try:
+                    while i < len(left):
+                        out.write(unpack.decompress(left[i : i + 1]))
+                        i += 1
+                except zlib.error:
+                    pass
+                return pos - len(left) + i, f"gzip: {e}"
+            out.write(data)
+            total += len(data)
             if total > self.max_record:
-                raise Damaged("member is too large")
-        return b"".join(out), pos - len(unpack.unused_data)
-
-    def _plain(self, at: int) -> tuple[bytes, int]:
-        """The bytes of one uncompressed record, grown until it parses or fails for good."""
-        want = 1 << 16
-        while True:
-            data = self.read_at(at, want)
-            try:
-                end = parse_record(data, 0)[2]
-                return data[:end], at + end
-            except Damaged as e:
-                if len(data) < want or want > self.max_record or str(e) not in ("header without end", "block is cut off", "record without end"):
-                    raise
-            want *= 4
+                return pos, "member is too large"
+            if last and not data and not unpack.eof:
+                return pos, "member is cut off"
+            left, first = unpack.unconsumed_tail, False
+        return pos - len(unpack.unused_data), None
+
+    def _reach(self, at: int, size: int) -> int:
+        """The offset up to which a member is read for its first ``size`` decoded bytes."""
+        unpack, pos, left = zlib.decompressobj(31), at, b""
+        while size > 0:
+            if not left:
+                left = self.read_at(pos, _CHUNK)
+                pos += len(left)
+            size -= len(unpack.decompress(left, min(size, _PIECE)))
+            left = unpack.unconsumed_tail
+        return pos - len(left)
 
     def _next(self, at: int) -> int:
         """The next offset where a member or a version line may begin."""
@@ -207,31 +297,49 @@ class Salvage:
         else:
             self.gaps.append((start, end, reason))
 
-    def __iter__(self) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-        """(offset, end, headers, block) of every record that passes its checks."""
+    def _records(self, at: int) -> Iterator[tuple[int, int, dict[str, str], Block]]:
+        """The records of the member at an offset; returns where to go on."""
+        with tempfile.SpooledTemporaryFile(max_size=_HELD) as file:
+
+            def read(i: int, n: int) -> bytes:
+                file.seek(i)
+                return file.read(n)
+
+            end, torn = self._member(at, file)
+            size, pos, sound, why = file.seek(0, os.SEEK_END), 0, 0, torn
+            while 0 <= pos < size:
+                try:
+                    headers, block, after = parse_record(read, pos, size)
+                    if torn and torn.startswith("gzip") and (not block.vouched or (pos, after) == (0, size)):
+                        raise Damaged("nothing vouches for it")
+                except Damaged as e:
+                    why = why or str(e)
+                    pos = _find(read, _VERSION, pos + 1, size)
+                    continue
+                yield at, end, headers, block._replace(doubt=torn)
+                pos = sound = after
+        if torn:  # a decoder may run on into later members, but not before the end of a sound record
+            end = self._next(max(at + 1, self._reach(at, sound - 1)))
+        if why:
+            self._gap(at, end, why)
+        return end
+
+    def __iter__(self) -> Iterator[tuple[int, int, dict[str, str], Block]]:
+        """(offset, end, headers, block) of every record that passes its checks; read a block before the next record."""
         at = 0
         while at < self.size:
-            try:
-                head = self.read_at(at, len(_VERSION))
-                if head.startswith(_MAGIC):
-                    data, end = self._member(at)
-                elif head == _VERSION:
-                    data, end = self._plain(at)
-                else:
-                    raise Damaged("no member or version line")
-            except Damaged as e:
-                to = self._next(at + 1)
-                self._gap(at, to, str(e))
-                at = to
+            head = self.read_at(at, len(_VERSION))
+            if head.startswith(_MAGIC):
+                at = yield from self._records(at)
                 continue
-            pos, good = 0, []
             try:
-                while pos < len(data):
-                    headers, block, pos = parse_record(data, pos)
-                    good.append((headers, block))
+                if head != _VERSION:
+                    raise Damaged("no member or version line")
+                headers, block, end = parse_record(self.read_at, at, self.size)
             except Damaged as e:
+                end = self._next(at + 1)
                 self._gap(at, end, str(e))
-            for headers, block in good:
+            else:
                 yield at, end, headers, block
             at = end
 
@@ -259,17 +367,17 @@ def read_batches(payloads: bool):
                     salvage = Salvage(lambda at, n, f=f, size=size: f.read_at(max(0, min(n, size - at)), at), size)
                     rows, held = [], 0
                     for at, end, h, block in salvage:
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        n = len(payload)
+                        n = block.payload_bytes
                         if h.get("warc-type") == "revisit":
-                            sizes = [x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                            sizes = [x.partition(b":")[2] for x in block.head().split(b"\r\n") if x.lower().startswith(b"content-length:")]
                             n = int(sizes[0]) if sizes else None
-                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(payload)
+                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or block.payload_sha1
+                        payload = block.payload() if payloads else None
                         rows.append(
                             (archive, at, end, "record", h.get("warc-type"), h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"), n, digest,
-                             h.get("warc-refers-to", "").strip("<>") or None, None, payload if payloads else None)
+                             h.get("warc-refers-to", "").strip("<>") or None, block.doubt, payload)
                         )
-                        held += len(payload) if payloads else 0
+                        held += len(payload or b"")
                         if len(rows) >= 2048 or held > 8 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
@@ -284,7 +392,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """READ rows of the archives named in the first column: records and quarantined gaps.
 
     Defined results: an empty archive gives no rows; a wholly unreadable one a
-    single gap from end to end; no byte is in no record and no gap.
+    single gap from end to end; no byte is in no record and no gap; a record out
+    of a member whose gzip data fail or break off has that as its reason.
     """
     name = archives.columns[0]
     return archives.select(F.col(name).alias("archive")).mapInArrow(read_batches(payloads), READ)

@@ -294,6 +294,35 @@ def test_salvage_of_damaged_archives():
     assert _salvaged(b"no archive at all") == ([], [(0, 17, "no member or version line")])
 
 
+def test_salvage_inside_damaged_members():
+    """Several records a member: those before and behind a damaged record, a cut-off or failed gzip data come back."""
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"abcdefgh") for _ in range(3000)) for _ in range(8)]
+    plain = [warc.page_record(i, f"http://h/{i}", t, None, "2024-01-01T00:00:00Z") for i, t in enumerate(texts)]
+    names = [f"urn:x-page:{i}" for i in range(8)]
+    tail = gzip.compress(warc.page_record(99, "u", b"last", None, "d"))
+    for hurt in (plain[3].replace(texts[3][:9], b"#" * 9), plain[3].replace(b"Content-Length: 3", b"Content-Length: 9"), plain[3][:500], b"?" + plain[3][1:]):
+        pack = gzip.compress(b"".join([*plain[:3], hurt, *plain[4:]]))
+        ids, gaps = _salvaged(pack + tail)
+        assert ids == [*names[:3], *names[4:], "urn:x-page:99"]
+        assert [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
+    for level in (0, 6):  # stored blocks hold version lines that must not be read twice
+        pack = gzip.compress(b"".join(plain), level)
+        ids, gaps = _salvaged(pack[: len(pack) * 6 // 10])
+        assert ids == names[:4] and [(a, b) for a, b, _ in gaps] == [(0, len(pack) * 6 // 10)]
+        bad = bytearray(pack)
+        bad[-6] ^= 1  # the checksum only: digests vouch for every record
+        ids, gaps = _salvaged(bytes(bad) + tail)
+        assert ids == [*names, "urn:x-page:99"] and [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
+    for at in range(2000, len(pack) - 8, 997):
+        bad = bytearray(pack)
+        bad[at] ^= 0x55
+        ids, gaps = _salvaged(bytes(bad) + tail)
+        before = at * 8 // len(pack) - 1
+        assert ids[: max(before, 0)] == names[: max(before, 0)] and ids[-1] == "urn:x-page:99" and len(set(ids)) == len(ids)
+        assert [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
+
+
 def test_reading_reports_gaps(spark, tmp_path):
     good = gzip.compress(warc.page_record(1, "u", b"abc", None, "d"))
     (tmp_path / "a.warc.gz").write_bytes(good + b"???" + good)
