@@ -35,6 +35,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK, _PIECE = 1 << 18, 1 << 20
 #: Decoded bytes of a member kept in memory; larger members go through a temporary file.
 _HELD = 32 << 20
+#: Payload bytes that a row can hold.
+_VALUE = (1 << 31) - (1 << 16)
 
 
 def _base32(digest) -> str:
@@ -234,14 +236,14 @@ class Salvage:
     headers, so the block of such a record names what failed as its ``doubt``.
     """
 
-    def __init__(self, read_at, size: int, max_record: int = 256 << 20):
-        self.read_at, self.size, self.max_record = read_at, size, max_record
+    def __init__(self, read_at, size: int):
+        self.read_at, self.size = read_at, size
         self.gaps: list[tuple[int, int, str]] = []
 
     def _member(self, at: int, out) -> tuple[int, str | None]:
         """Writes the decoded member to a file; (where decoding ended, what failed)."""
         unpack, pos, left = zlib.decompressobj(31), at, b""
-        first, total = True, 0
+        first = True
         while not unpack.eof:
             if not left:
                 left = self.read_at(pos, _CHUNK)
@@ -260,9 +262,6 @@ class Salvage:
                     pass
                 return pos - len(left) + i, f"gzip: {e}"
             out.write(data)
-            total += len(data)
-            if total > self.max_record:
-                return pos, "member is too large"
             if last and not data and not unpack.eof:
                 return pos, "member is cut off"
             left, first = unpack.unconsumed_tail, False
@@ -372,7 +371,7 @@ def read_batches(payloads: bool):
                             sizes = [x.partition(b":")[2] for x in block.head().split(b"\r\n") if x.lower().startswith(b"content-length:")]
                             n = int(sizes[0]) if sizes else None
                         digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or block.payload_sha1
-                        payload = block.payload() if payloads else None
+                        payload = block.payload() if payloads and block.payload_bytes <= _VALUE else None
                         rows.append(
                             (archive, at, end, "record", h.get("warc-type"), h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"), n, digest,
                              h.get("warc-refers-to", "").strip("<>") or None, block.doubt, payload)
@@ -393,7 +392,9 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
     Defined results: an empty archive gives no rows; a wholly unreadable one a
     single gap from end to end; no byte is in no record and no gap; a record out
-    of a member whose gzip data fail or break off has that as its reason.
+    of a member whose gzip data fail or break off has that as its reason.  Records
+    may have any size; a payload beyond what a value of Spark holds (2 GiB) is null
+    in ``payload``, its length and digest stand.
     """
     name = archives.columns[0]
     return archives.select(F.col(name).alias("archive")).mapInArrow(read_batches(payloads), READ)

@@ -323,6 +323,27 @@ def test_salvage_inside_damaged_members():
         assert [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
 
 
+def test_salvage_of_a_record_over_256_mib(tmp_path):
+    size, piece = 257 << 20, bytes(1 << 20)
+    sha = hashlib.sha1()
+    for _ in range(257):
+        sha.update(piece)
+    digest = base64.b32encode(sha.digest()).decode()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:1>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {size + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"
+    after = gzip.compress(warc.page_record(2, "u", b"after", None, "d"))
+    for opener in (lambda p: gzip.open(p, "wb", 1), lambda p: open(p, "wb")):
+        path = tmp_path / "a.warc.gz"
+        with opener(path) as f:
+            for data in (head.encode(), *[piece] * 257, b"\r\n\r\n"):
+                f.write(data)
+        with open(path, "ab") as f:
+            f.write(after)
+        with open(path, "rb") as f:
+            salvage = warc.Salvage(lambda at, n, f=f: (f.seek(at), f.read(n))[1], path.stat().st_size)
+            got = [(h["warc-record-id"], h.get("warc-payload-digest", "")[5:]) for _, _, h, _ in salvage]
+        assert [i for i, _ in got] == ["<urn:x-page:1>", "<urn:x-page:2>"] and got[0][1] == digest and salvage.gaps == []
+
+
 def test_reading_reports_gaps(spark, tmp_path):
     good = gzip.compress(warc.page_record(1, "u", b"abc", None, "d"))
     (tmp_path / "a.warc.gz").write_bytes(good + b"???" + good)
