@@ -8,21 +8,39 @@ occur whole.  Every state knows the items it occurs in, so a span names its
 sources.
 
 The automaton holds at most ``max_tokens`` item words; a larger benchmark is
-split by item into blocks, each streamed against all documents, so what a task
-holds does not grow with the benchmark.
+split by item into blocks in the shared folder.  A task holds a few batches of
+documents and takes the blocks' automata over them one after another, so what it
+holds does not grow with the benchmark, and every row keeps its own result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkogram.llm.substring_rlz import _mask
 from sparkogram.llm.textops import ALNUM, alnum_words
+from sparkogram.llm.warc import _place
+from sparkogram.runtime import scratch_path
+
+#: Bytes of documents that several automata pass over in turn.
+_HELD = 32 << 20
+
+
+def _unite(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ranges in order; those that meet become one."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 class ItemAutomaton:
@@ -95,13 +113,7 @@ class ItemAutomaton:
         for a, b in edges.reshape(-1, 2).tolist():
             if b - a >= self.least:
                 self._stream(codes[a:b].tolist(), a, found, names)
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, names
+        return _unite(found), names
 
     def _stream(self, codes: list[int], base: int, found: list, names: set[str]) -> None:
         state = size = 0
@@ -128,24 +140,70 @@ class ItemAutomaton:
                 up = self.short[self.link[up]]
 
 
-def match_batches(items: list[tuple[str, list[bytes]]], window: int):
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def finder(blocks: list, window: int) -> Callable[[list[pa.Array]], list[list[tuple[int, list[tuple[int, int]], set[str]]]]]:
+    """Function from text columns to the words, spans and items of every row.
+
+    ``blocks`` are items, or files with them; the automaton used last is kept.
+    """
+    order, last = list(range(len(blocks))), (-1, None)
+
+    def automaton(k: int) -> ItemAutomaton:
+        nonlocal last
+        if last[0] != k:
+            last = (-1, None)  # the old one goes first
+            block = blocks[k]
+            if isinstance(block, str):
+                system, path = _place(block)
+                got = pq.read_table(path, filesystem=system).to_pydict()
+                block = [(i, alnum_words(t.encode())) for i, t in zip(got["i"], got["t"], strict=True)]
+            last = (k, ItemAutomaton(block, window))
+        return last[1]
+
+    def find(columns: list[pa.Array]):
+        columns = [c.cast(pa.binary()) for c in columns]
+        found = [[(0, [], set()) for _ in c] for c in columns]
+        for k in order:
+            spans_of = automaton(k).spans
+            for column, rows in zip(columns, found, strict=True):
+                for at, t in enumerate(column):
+                    words = alnum_words(t.as_py() or b"")
+                    spans, names = spans_of(words)
+                    _, old, who = rows[at]
+                    rows[at] = (len(words), _unite(old + spans) if old else spans, who | names)
+        order.reverse()
+        return found
+
+    return find
+
+
+def match_batches(blocks: list, window: int):
     """mapInArrow function: (doc_id, text) to (doc_id, n_words, spans, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ItemAutomaton(items, window)
+        find = finder(blocks, window)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            n, spans, names = [], [], []
-            for t in batch.column(1).cast(pa.binary()):
-                words = alnum_words(t.as_py() or b"")
-                got, who = automaton.spans(words)
-                n.append(len(words))
-                spans.append([{"first": a, "end": b} for a, b in got])
-                names.append(sorted(who))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "spans", "items"],
-            )
+        for held in _held(batches, _HELD if len(blocks) > 1 else 0):
+            for batch, found in zip(held, find([b.column(1) for b in held]), strict=True):
+                n = [words for words, _, _ in found]
+                spans = [[{"first": a, "end": b} for a, b in got] for _, got, _ in found]
+                names = [sorted(who) for _, _, who in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
+                    names=["doc_id", "n_words", "spans", "items"],
+                )
 
     return run
 
@@ -153,14 +211,21 @@ def match_batches(items: list[tuple[str, list[bytes]]], window: int):
 SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,end:int>>, items array<string>"
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, max_tokens: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Item blocks of about ``max_tokens`` words; a text of n bytes has at most n / 2 + 1 words."""
+def _blocks(items: DataFrame, item_id: str, text: str, max_tokens: int) -> list:
+    """Item blocks of about ``max_tokens`` words, several as files; a text of n bytes has at most n / 2 + 1 words."""
     src = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
     total = src.agg(F.sum(F.expr("octet_length(t) div 2 + 1"))).first()[0] or 0
     count = -(-total // max_tokens) or 1
+    if count == 1:
+        return [[(r["i"], alnum_words(r["t"].encode())) for r in src.collect()]]
+    folder = scratch_path(items.sparkSession, "items")
+    system, base = _place(folder)
+    system.create_dir(base, recursive=True)
     for k in range(count):
-        part = src if count == 1 else src.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k)
-        yield [(r["i"], alnum_words(r["t"].encode())) for r in part.collect()]
+        part = src.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k).collect()
+        rows = pa.table({"i": pa.array([r["i"] for r in part], pa.string()), "t": pa.array([r["t"] for r in part], pa.string())})
+        pq.write_table(rows, f"{base}/{k}.parquet", filesystem=system)
+    return [f"{folder}/{k}.parquet" for k in range(count)]
 
 
 def contamination(
@@ -179,24 +244,10 @@ def contamination(
     Defined results: null or empty texts have no words, spans or items; items
     without words or with a null id are ignored; repeated items and ids with equal
     text count once in ``items``; an empty benchmark hits nothing; repeated
-    document ids keep a row each while the benchmark fits one block; other columns are ignored.
+    and null document ids keep a row each; other columns are ignored.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = [src.mapInArrow(match_batches(block, window), SCHEMA) for block in _blocks(items, item_id, item_text, max_tokens)]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    # blocks may overlap in what they hit: unite ranges that meet
-    united = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<first:int,end:int>>),
-        (acc, s) -> case when size(acc) > 0 and element_at(acc, -1).end >= s.first
-            then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first,
-                'end', greatest(element_at(acc, -1).end, s.end))))
-            else concat(acc, array(s)) end)"""
-    return every.groupBy("doc_id", "n_words").agg(
-        F.expr(united).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+    return src.mapInArrow(match_batches(_blocks(items, item_id, item_text, max_tokens), window), SCHEMA)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -235,30 +286,22 @@ def _cut(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def cut_batches(at: int, max_coverage: float, items: list[tuple[str, list[bytes]]] | None, window: int):
-    """Rows with the text in column ``at``, without its spans; rows hit beyond the limit go.
-
-    With ``items`` the spans are found here, else they are the last column.
-    """
+def cut_batches(at: int, max_coverage: float, blocks: list, window: int):
+    """Rows with the text in column ``at``, without its spans; rows hit beyond the limit go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = None if items is None else ItemAutomaton(items, window)
-        for batch in batches:
-            texts, stay = [], []
-            for i, t in enumerate(batch.column(at).cast(pa.binary())):
-                text = t.as_py()
-                if automaton is None:
-                    spans = batch.column(batch.num_columns - 1)[i].as_py() or []
-                else:
-                    spans = [{"first": a, "end": b} for a, b in automaton.spans(alnum_words(text or b""))[0]]
-                hit, n = sum(s["end"] - s["first"] for s in spans), len(alnum_words(text)) if spans else 0
-                stay.append(not spans or (hit <= max_coverage * n and hit < n))
-                texts.append(_cut(text, spans) if spans else text)
-            cols, names = batch.columns, batch.schema.names
-            cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            if automaton is None:
-                cols, names = cols[:-1], names[:-1]
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay, pa.bool_()))
+        find = finder(blocks, window)
+        for held in _held(batches, _HELD if len(blocks) > 1 else 0):
+            for batch, found in zip(held, find([b.column(at) for b in held]), strict=True):
+                texts, stay = [], []
+                for t, (n, got, _) in zip(batch.column(at).cast(pa.binary()), found, strict=True):
+                    text, spans = t.as_py(), [{"first": a, "end": b} for a, b in got]
+                    hit = sum(b - a for a, b in got)
+                    stay.append(not spans or (hit <= max_coverage * n and hit < n))
+                    texts.append(_cut(text, spans) if spans else text)
+                cols, names = batch.columns, batch.schema.names
+                cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay, pa.bool_()))
 
     return run
 
@@ -277,16 +320,7 @@ def decontaminate(
     """``docs`` without benchmark spans; documents covered beyond ``max_coverage`` go whole.
 
     A document is dropped when more than that share of its words is hit, or when
-    no word is left.  With one automaton this is a narrow pass; with several their
-    spans are united per document first.
+    no word is left.  This is a narrow pass: each row is judged by its own text.
     """
     at = docs.columns.index(text)
-    blocks = _blocks(items, item_id, item_text, max_tokens)
-    first = next(blocks)
-    more = next(blocks, None)
-    if more is None:
-        return docs.mapInArrow(cut_batches(at, max_coverage, first, window), docs.schema)
-    found = contamination(docs, items, window, max_tokens, doc_id, text, item_id, item_text).where("size(spans) > 0")
-    found = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_hit_id"), F.col("spans").alias("_hit_spans"))
-    joined = docs.join(found, F.col(doc_id).cast("long") == F.col("_hit_id"), "left").drop("_hit_id")
-    return joined.mapInArrow(cut_batches(at, max_coverage, None, window), docs.schema)
+    return docs.mapInArrow(cut_batches(at, max_coverage, _blocks(items, item_id, item_text, max_tokens), window), docs.schema)

@@ -138,6 +138,20 @@ def test_decontaminate_removes_spans(spark, none):
     assert decontam_sam.contamination_report(frame(spark, rows), items.limit(0)).where("contaminated").count() == 0
 
 
+def test_several_item_blocks_give_the_rows_of_one(spark):
+    """Repeated rows, null ids, and an id with several texts, some of equal length."""
+    item, other = "the quick brown fox jumps over the lazy dog again and again", "pack my box with five dozen liquor jugs and then some more"
+    free = "nothing to see in here but words of our own making at all"
+    rows = [(1, f"{free} {free} {item}"), (1, f"{free} {free} {item}"), (1, f"{item} {free} {free}"), (1, f"{free} {free} {free}"), (1, f"{other} x"), (1, "short"),
+            (None, f"{free} {free} {item}"), (None, f"{free} {free} {other}"), (None, f"{free} {free} {free}"), (2, f"{free} {item} {other} {free} {free}"), (3, None)]
+    items = spark.createDataFrame([(7, item), (8, other), (9, "yet another line that no text has")], "item_id long, text string")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    one, many = (sorted(map(repr, decontam_sam.contamination_report(frame(spark, rows), items, max_tokens=n).select(cols).collect())) for n in (200_000, 40))
+    assert len(one) == len(rows) and many == one
+    one, many = (sorted(map(repr, decontam_sam.decontaminate(frame(spark, rows), items, max_tokens=n).collect())) for n in (200_000, 40))
+    assert len(one) == len(rows) - 1 and many == one
+
+
 # ---- statistics, rules, classifiers ----------------------------------------------------------
 
 
