@@ -261,6 +261,16 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages, rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
 
 
+def test_several_rule_blocks_give_the_rows_of_one(spark):
+    """Rules of equal length with hosts of unequal length, and repeated pages."""
+    rows = [("com", "/bcdef", "block"), ("a.com", "/bcd", "allow"), ("b.a.com", "/b", "block"), ("", "/bcdefghi", "allow"), ("com", "/", "block"), ("x/y", "/", "allow")]
+    rules = spark.createDataFrame(rows, "host string, path string, verdict string")
+    urls = ["http://a.com/bcdef", "http://a.com/bcdef", "http://b.a.com/bcdefghi", "http://c.com/bcdef", "http://c.com/q", "http://org/q"]
+    pages = spark.createDataFrame([(1, urls[0]), *enumerate(urls), (None, urls[0]), (None, urls[0])], "page_id long, url string").repartition(2)
+    one, *many = (sorted(map(repr, url_filter.filter_urls(pages, rules, max_rules=n).collect())) for n in (100, 1, 2, 3))
+    assert len(one) == 9 and sum("'a.com/bcd'" in x for x in one) == 5 and all(x == one for x in many)
+
+
 # ---- archives --------------------------------------------------------------------------------
 
 
