@@ -41,15 +41,14 @@ def terms(text: bytes) -> set[bytes]:
     return out
 
 
-def _term_batches(only: set[bytes] | None):
+def _term_batches():
     """mapInArrow function: (text, label) to (term, toxic, n) counts of documents per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                got = terms(t.as_py() or b"")
-                found[int(y > 0)].update(got if only is None else got & only)
+                found[int(y > 0)].update(terms(t.as_py() or b""))
             rows = [(w, y, n) for y in (0, 1) for w, n in found[y].items()]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays(
@@ -87,23 +86,19 @@ def _vote_batches(voters: list[bytes]):
 VOTES = "doc_id long, n_words long, votes array<int>"
 
 
-def mine_voters(
-    train: DataFrame, support: int = 4, purity: float = 0.7, most: int = 400, candidates: int = 20_000
-) -> list[tuple[bytes, int, int]]:
+def mine_voters(train: DataFrame, support: int = 4, purity: float = 0.7, most: int = 400) -> list[tuple[bytes, int, int]]:
     """(term, toxic, all) of terms of at least ``support`` toxic training documents that are mostly in toxic ones.
 
-    Two passes: frequent terms of toxic texts, then their counts in all training texts.
+    One aggregation counts every term of the bounded sample in both classes.  Of
+    the terms that pass, the ``most`` with the highest toxic * purity become
+    voters: the driver holds votes as a dense matrix (a documented bound).
     """
-    toxic = train.where("label > 0").select("text", "label").mapInArrow(_term_batches(None), "term binary, toxic int, n long")
-    common = toxic.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(candidates)
-    wanted = {bytes(r["term"]) for r in common.collect()}
-    if not wanted:
-        return []
-    counts = train.select("text", "label").mapInArrow(_term_batches(wanted), "term binary, toxic int, n long")
+    counts = train.select("text", "label").mapInArrow(_term_batches(), "term binary, toxic int, n long")
     got = counts.groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n")
     )
-    good = got.where(F.col("p") >= F.lit(purity) * (F.col("n") + 1)).orderBy(F.desc(F.col("p") * F.col("p") / F.col("n")), "term").limit(most)
+    good = got.where((F.col("p") >= support) & (F.col("p") >= F.lit(purity) * (F.col("n") + 1)))
+    good = good.orderBy(F.desc(F.col("p") * F.col("p") / F.col("n")), "term").limit(most)
     return [(bytes(r["term"]), r["p"], r["n"]) for r in good.collect()]
 
 

@@ -224,6 +224,13 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert toxicity_weak.toxicity_scores(none, lab, train, support=4).count() == 0
 
 
+def test_mining_finds_rare_terms_behind_many_common_ones(spark):
+    common = " ".join(hashlib.md5(str(i).encode()).hexdigest()[:9] for i in range(6000))
+    rows = [(common + (" zonkers" if i < 4 else ""), 1) for i in range(5)] + [(common, 0)] * 8
+    got = toxicity_weak.mine_voters(spark.createDataFrame(rows, "text string, label int"))
+    assert (b"zonkers", 4, 4) in got and all(p == n == 4 for _, p, n in got)
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
