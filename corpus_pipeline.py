@@ -18,7 +18,6 @@ from sparkogram.llm.minhash_tensor import drop_near_duplicates
 from sparkogram.llm.quality_rules import keep_good
 from sparkogram.llm.queries import tokenizer_path
 from sparkogram.llm.substring_rlz import remove_repeated_spans
-from sparkogram.llm.textstats import text_counts
 from sparkogram.runtime import cut, table
 
 
@@ -30,7 +29,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base checks or the decision list learned from ``labels``."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    return keep_good(docs, labels, cut(text_counts(docs), "counts"))
+    return keep_good(docs, labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def match_batches(blocks: list, window: int):
             for batch, found in zip(held, find([b.column(1) for b in held]), strict=True):
                 n = [words for words, _, _ in found]
                 spans = [[{"first": a, "end": b} for a, b in got] for _, got, _ in found]
-                names = [sorted(who) for _, _, who in found]
+                names = [sorted(who - {None}) + [None] * (None in who) for _, _, who in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "spans", "items"],
@@ -213,7 +213,7 @@ SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,end:int>>, ite
 
 def _blocks(items: DataFrame, item_id: str, text: str, max_tokens: int) -> list:
     """Item blocks of about ``max_tokens`` words, several as files; a text of n bytes has at most n / 2 + 1 words."""
-    src = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    src = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
     total = src.agg(F.sum(F.expr("octet_length(t) div 2 + 1"))).first()[0] or 0
     count = -(-total // max_tokens) or 1
     if count == 1:
@@ -222,7 +222,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, max_tokens: int) -> list:
     system, base = _place(folder)
     system.create_dir(base, recursive=True)
     for k in range(count):
-        part = src.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k).collect()
+        part = src.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()
         rows = pa.table({"i": pa.array([r["i"] for r in part], pa.string()), "t": pa.array([r["t"] for r in part], pa.string())})
         pq.write_table(rows, f"{base}/{k}.parquet", filesystem=system)
     return [f"{folder}/{k}.parquet" for k in range(count)]
@@ -242,7 +242,8 @@ def contamination(
 
     Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.
     Defined results: null or empty texts have no words, spans or items; items
-    without words or with a null id are ignored; repeated items and ids with equal
+    without words are ignored; items with a null id hit and are one null in
+    ``items``, which counts and has no name, as in the SQL; repeated items and ids with equal
     text count once in ``items``; an empty benchmark hits nothing; repeated
     and null document ids keep a row each; other columns are ignored.
     """

@@ -240,7 +240,17 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component (the smallest id)."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[options.get("doc_id", "doc_id")] == F.col("_kept_id"), "left_semi")
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate component (the smallest id).
+
+    Rows with a null id come after all others and stand for themselves: they stay
+    unless another document or an earlier one of them is their near-duplicate.
+    """
+    named, nameless = docs.where(F.col(doc_id).isNotNull()), docs.where(F.col(doc_id).isNull())
+    all_ids = docs.select(F.col(doc_id).cast("long").alias("_row"), *docs.columns)
+    if nameless.select(doc_id).take(1):
+        top = named.agg(F.max(F.col(doc_id).cast("long"))).first()[0] or 0
+        nameless = cut(nameless.withColumn("_row", F.monotonically_increasing_id() + F.lit(top + 1)), "nameless")
+        all_ids = named.withColumn("_row", F.col(doc_id).cast("long")).unionByName(nameless).select("_row", *docs.columns)
+    kept = near_duplicates(all_ids, doc_id="_row", **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return all_ids.join(kept, F.col("_row") == F.col("_kept_id"), "left_semi").drop("_row")

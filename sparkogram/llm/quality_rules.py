@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkogram.llm.textstats import bounded_sample, ratios, text_counts
+from sparkogram.llm.textstats import COUNTS, bounded_sample, counted_rows, ratios, text_counts
+from sparkogram.runtime import cut
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,12 @@ def learn_rules(counts: DataFrame, labels: DataFrame, max_rows: int = 30_000, **
     return learn_list({k: got[k].to_numpy(float) for k in columns}, (got["label"] == 0).to_numpy(), **options)
 
 
+def _verdicts(counts: DataFrame, rules: list[Rule]) -> tuple[Column, Column]:
+    """``base_failed`` and ``kept`` over COUNTS."""
+    failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    return failed, ~failed & keep_expression(rules, ratios(counts))
+
+
 def quality_report(docs: DataFrame, labels: DataFrame, counts: DataFrame | None = None, max_rows: int = 30_000, **options) -> DataFrame:
     """Base counts, ``base_failed`` and ``kept`` of every document.
 
@@ -157,7 +164,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, counts: DataFrame | None
     """
     counts = text_counts(docs) if counts is None else counts
     rules = learn_rules(counts, labels, max_rows, **options)
-    failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    failed, kept = _verdicts(counts, rules)
     return counts.select(
         "doc_id",
         "n_words",
@@ -166,11 +173,16 @@ def quality_report(docs: DataFrame, labels: DataFrame, counts: DataFrame | None
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & keep_expression(rules, ratios(counts))).alias("kept"),
+        kept.alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, counts: DataFrame | None = None, **options) -> DataFrame:
-    """``docs`` without the documents that the report rejects; columns unchanged."""
-    gone = quality_report(docs, labels, counts, **options).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, **options) -> DataFrame:
+    """``docs`` without the rows that the report rejects; columns unchanged.
+
+    Each row is judged by its own text, whatever its id is.
+    """
+    rows = cut(counted_rows(docs), "counted")
+    counts = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *COUNTS)
+    _, kept = _verdicts(counts, learn_rules(counts, labels, max_rows, **options))
+    return rows.where(kept).select("row.*")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -79,6 +80,20 @@ def text_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return src.mapInArrow(_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def counted_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, COUNTS): every row of ``docs`` as a struct, with the counts of its own text."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            got = next(_batches(iter([pa.RecordBatch.from_arrays([rows, rows.field(at)], names=["doc_id", "text"])])))
+            yield pa.RecordBatch.from_arrays(got.columns, names=["row", *COUNTS])
+
+    kind = StructType([StructField("row", docs.schema), *(StructField(c, LongType()) for c in COUNTS)])
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, kind)
+
+
 def ratios(df: DataFrame) -> dict[str, object]:
     """Named scale-free statistics as column expressions over COUNTS."""
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))

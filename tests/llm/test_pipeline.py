@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import random
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
 import corpus as B  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from sparkogram.llm import decontam_sam, minhash_tensor, quality_rules  # noqa: E402
 from sparkogram.llm.queries import tokenizer_path  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +51,24 @@ def test_pipeline_stages(spark):
     lib = Tokenizer.from_file(tokenizer_path())
     got = {r["doc_id"]: r["ids"] for r in docs.collect()}
     assert got == {d: lib.encode(t, add_special_tokens=False).ids for d, t in kept.items()}
+
+
+def test_stages_judge_rows_whatever_their_ids_are(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c, d, item = text(), text(), text(), text(), text()
+    rows = [(1, a), (1, "too short"), (None, "too short as well"), (None, b), (None, c), (None, c), (None, a), (2, d)]
+    docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in rows], "doc_id long, text string, lang string, n_chars int")
+    left = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    good = quality_rules.keep_good(docs, none)
+    assert good.columns == docs.columns and left(good) == sorted((i or 0, t) for i, t in rows if len(t) > 50)
+    once = minhash_tensor.drop_near_duplicates(good)
+    assert once.columns == docs.columns and left(once) == sorted([(1, a), (0, b), (0, c), (2, d)])
+    items = spark.createDataFrame([(None, item), (4, d)], "item_id long, text string")
+    texts = spark.createDataFrame([(5, f"{a} {item} {b}"), (6, a), (7, f"{d} {item}")], "doc_id long, text string")
+    for size in (200_000, 300):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontam_sam.contamination_report(texts, items, max_tokens=size).collect()}
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        assert got == {5: (80, 1, sha(b"")), 6: (0, 0, sha(b"")), 7: (160, 2, sha(b"4"))}
+    assert left(decontam_sam.decontaminate(texts, items)) == [(5, f"{a}  {b}"), (6, a)]
