@@ -83,18 +83,26 @@ def ranked_pairs(counts: DataFrame) -> DataFrame:
 def greedy_pairs(ranked: DataFrame, n_pairs: int = 12, per_image: int = 2, considered: int = 5000) -> DataFrame:
     """Best pairs with each image at most ``per_image`` times, filled up by rank.
 
-    The choice is a fold over ranks, so the driver walks the top of the list:
-    ``considered`` bounds what it holds and is far above ``n_pairs``.
+    The choice is a fold over ranks: the driver walks at most ``considered`` pairs
+    at a time, and goes on behind them without the images that are used up until
+    the choice or the ranking is complete.  Every walk chooses a pair at least.
     """
-    rows = ranked.orderBy("rank").limit(considered).collect()
     used: dict[int, int] = {}
-    chosen = []
-    for r in rows:
-        if len(chosen) < n_pairs and used.get(r["img_i"], 0) < per_image and used.get(r["img_j"], 0) < per_image:
-            chosen.append(r)
-            for i in (r["img_i"], r["img_j"]):
-                used[i] = used.get(i, 0) + 1
-    chosen += [r for r in rows if r not in chosen][: max(0, n_pairs - len(chosen))]
+    chosen, rest, more = [], ranked, n_pairs > 0
+    while more:
+        rows = rest.orderBy("rank").limit(considered).collect()
+        for r in rows:
+            if len(chosen) < n_pairs and used.get(r["img_i"], 0) < per_image and used.get(r["img_j"], 0) < per_image:
+                chosen.append(r)
+                for i in (r["img_i"], r["img_j"]):
+                    used[i] = used.get(i, 0) + 1
+        more = len(chosen) < n_pairs and len(rows) == considered
+        if more:
+            full = [i for i, n in used.items() if n >= per_image]
+            rest = ranked.where((F.col("rank") > rows[-1]["rank"]) & ~F.col("img_i").isin(full) & ~F.col("img_j").isin(full))
+    if len(chosen) < n_pairs:  # the first n_pairs ranks hold enough that are not chosen yet
+        first = ranked.orderBy("rank").limit(n_pairs).collect()
+        chosen += [r for r in first if r not in chosen][: n_pairs - len(chosen)]
     return ranked.sparkSession.createDataFrame(chosen, ranked.schema)
 
 

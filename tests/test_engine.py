@@ -269,3 +269,14 @@ def test_streaming_ingest_matches_new_with_all(spark, tmp_path):
     q.stop()
     got = {(r["img_i"], r["img_j"]) for r in spark.read.parquet(str(tmp_path / "store" / "matches")).collect()}
     assert got == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_greedy_pairs_look_behind_the_first_block_of_ranks(spark):
+    """Images used up at once fill the first ranks; pairs that are still allowed come later."""
+    pairs = [(0, 1), (0, 2), *((0, i) for i in range(3, 30)), (3, 4), (1, 2), (5, 6), (3, 5)]
+    ranked = spark.createDataFrame([(i, j, 1000 - k, k + 1) for k, (i, j) in enumerate(pairs)], "img_i int, img_j int, n_matches int, rank int")
+    pick = lambda n, **o: [(r["img_i"], r["img_j"]) for r in reports.greedy_pairs(ranked, n, 2, **o).collect()]
+    want = [(0, 1), (0, 2), (3, 4), (1, 2), (5, 6), (3, 5)]
+    assert sorted(pick(6, considered=10)) == sorted(pick(6)) == sorted(want)
+    assert sorted(pick(8, considered=3)) == sorted(pick(8)) == sorted([*want, (0, 3), (0, 4)])
+    assert pick(1, considered=1) == [(0, 1)]
