@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis.
 
 Document statistics are transformed towards normality, class means and second
-moments come from one distributed aggregation over all labelled training rows
-(two result rows), and the covariances are shrunk twice: towards the pooled
+moments come from two distributed aggregations over all labelled training rows
+(two result rows each), and the covariances are shrunk twice: towards the pooled
 covariance and towards a multiple of the identity.  Their Cholesky factors are
 inverted once and cached as literals; a document's score is the difference of
 Mahalanobis log densities plus the log prior, calibrated on training rows.
@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkogram.llm.textstats import bounded_sample, ratios
+from sparkogram.llm.textstats import bounded_sample, one_row_each, ratios
+from sparkogram.runtime import cut
 
 
 def features(counts: DataFrame) -> dict[str, Column]:
@@ -54,31 +55,37 @@ class Qda:
         return part[1] - part[0]
 
 
+def _exact(c: Column) -> Column:
+    """Sums of these do not depend on the order of the rows, so refits give the same numbers."""
+    return F.sum(c.cast("decimal(24,12)"))
+
+
 def fit(train: DataFrame, x: dict[str, Column], pool: float = 0.3, ridge: float = 0.05, platt_rows: int = 20_000) -> Qda | None:
     """Fit on ``train`` (label 0/1 and counts); None unless both classes have two rows.
 
-    Moments use every training row.  The two calibration numbers are fitted on
-    at most ``platt_rows`` of them (documented bound).
+    Moments use every training row, in two passes: class means, then products of
+    what is left after subtracting them, which cannot cancel.  The two calibration
+    numbers are fitted on at most ``platt_rows`` of the same rows (documented bound).
     """
     names, d = tuple(x), len(x)
-    cols = train.select(F.col("label").cast("int").alias("label"), *(c.alias(n) for n, c in x.items()), "doc_id")
-    # sums of squares around fixed centres near the data keep the subtraction harmless
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = cols.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.array(*(F.sum(n) for n in names)).alias("s"),
-        F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs)).alias("q"),
-    )
+    label = F.when(F.col("label") > 0, 1).otherwise(0).alias("label")
+    cols = cut(train.select("doc_id", label, *(c.alias(n) for n, c in x.items())), "moments")
+    sums = cols.groupBy("label").agg(F.count("*").alias("n"), F.array(*(_exact(F.col(n)) for n in names)).alias("s"))
     got = {r["label"]: r for r in sums.collect()}
     if not all(k in got and got[k]["n"] > 1 for k in (0, 1)):
         return None
-    count, mean, scatter = {}, {}, {}
-    for k in (0, 1):
-        n, s = got[k]["n"], np.array(got[k]["s"])
-        q = np.zeros((d, d))
-        for (i, j), v in zip(pairs, got[k]["q"], strict=True):
-            q[i, j] = q[j, i] = v
-        count[k], mean[k], scatter[k] = n, s / n, q - np.outer(s, s) / n
+    count = {k: got[k]["n"] for k in (0, 1)}
+    mean = {k: np.array([float(v) for v in got[k]["s"]]) / count[k] for k in (0, 1)}
+    at = [F.col(n) - F.when(F.col("label") == 1, float(mean[1][i])).otherwise(float(mean[0][i])) for i, n in enumerate(names)]
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    products = cols.select("label", F.array(*at).alias("c")).groupBy("label").agg(
+        F.array(*(_exact(F.col("c")[i] * F.col("c")[j]) for i, j in pairs)).alias("q")
+    )
+    scatter = {}
+    for r in products.collect():
+        q = scatter[r["label"]] = np.zeros((d, d))
+        for (i, j), v in zip(pairs, r["q"], strict=True):
+            q[i, j] = q[j, i] = float(v)
     total = count[0] + count[1]
     pooled = (scatter[0] + scatter[1]) / max(total - 2, 1)
     whiten, const = [], []
@@ -91,7 +98,7 @@ def fit(train: DataFrame, x: dict[str, Column], pool: float = 0.3, ridge: float
         const.append(float(np.log(count[k] / total) - np.log(np.diag(factor)).sum()))
     model = Qda(names, (mean[0], mean[1]), (whiten[0], whiten[1]), (const[0], const[1]))
     sample = bounded_sample(cols, platt_rows)
-    scored = sample.select("label", model.margin({n: F.col(n) for n in names}).alias("m")).toPandas()
+    scored = sample.select("doc_id", "label", model.margin({n: F.col(n) for n in names}).alias("m")).toPandas().sort_values("doc_id")
     slope, shift = _platt(scored["m"].to_numpy(float), scored["label"].to_numpy(float))
     return Qda(names, model.mean, model.whiten, model.const, slope, shift)
 
@@ -128,12 +135,14 @@ def quality_scores(counts: DataFrame, labels: DataFrame, train: Column, threshol
 
     ``labels`` (doc_id, quality) are used where ``train``, a column over doc_id,
     holds.  Defined results: null and empty texts are scored by their zero
-    statistics; repeated ids keep a row each; labels with nulls are ignored, of
-    contradicting ones the higher counts; without both classes every score is
-    0.5; an empty table gives no rows; other columns are ignored.
+    statistics; repeated and null ids keep a row each, and a labelled id with
+    several texts is learned from the one with the least counts; labels with
+    nulls are ignored, of contradicting ones the higher counts; without both
+    classes every score is 0.5; an empty table gives no rows; other columns are
+    ignored.
     """
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     one = one.where("label is not null").where(train).groupBy("doc_id").agg(F.max("label").alias("label"))
-    model = fit(counts.join(one, "doc_id").dropDuplicates(["doc_id"]), features(counts), **options)
+    model = fit(one_row_each(counts.join(one, "doc_id"), "label"), features(counts), **options)
     got = counts.withColumn("score", score(counts, model))
     return got.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,10 +6,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sparkogram.llm.textops import pieces, tidy
+
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGIT = b"0123456789"
@@ -68,7 +71,7 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         rows = [counts(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in COUNTS]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *COUNTS])
@@ -77,7 +80,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and COUNTS (all long) of every whole text; a null text counts as empty."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return src.mapInArrow(tidy(_batches), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def counted_rows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,13 +88,18 @@ def counted_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0)
-            got = next(_batches(iter([pa.RecordBatch.from_arrays([rows, rows.field(at)], names=["doc_id", "text"])])))
-            yield pa.RecordBatch.from_arrays(got.columns, names=["row", *COUNTS])
+        rows = (pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), [at])], names=["row", "text"]) for b in batches)
+        for got in _batches(rows):
+            yield got.rename_columns(["row", *COUNTS])
 
     kind = StructType([StructField("row", docs.schema), *(StructField(c, LongType()) for c in COUNTS)])
-    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, kind)
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(tidy(run), kind)
+
+
+def one_row_each(counts: DataFrame, *more: str) -> DataFrame:
+    """One row per doc_id, the one with the least counts; ``more`` depends on doc_id alone."""
+    least = counts.groupBy("doc_id", *more).agg(F.min(F.struct(*COUNTS)).alias("least"))
+    return least.select("doc_id", *more, "least.*")
 
 
 def ratios(df: DataFrame) -> dict[str, object]:
