@@ -15,6 +15,7 @@ holds does not grow with the benchmark, and every row keeps its own result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkogram.llm.substring_rlz import _mask
-from sparkogram.llm.textops import ALNUM, alnum_words
+from sparkogram.llm.textops import ALNUM, alnum_words, pieces, sizes, tidy
 from sparkogram.llm.warc import _place
 from sparkogram.runtime import scratch_path
 
@@ -44,100 +45,137 @@ def _unite(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton of word sequences with item sets on its states."""
+    """Generalised suffix automaton of word sequences with item sets on its states.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    Nearly all states have one edge and one item, so both are numbers in flat
+    arrays; only further edges and item sets of several are Python objects.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        coded = [(name, [self.ids.setdefault(w, len(self.ids)) for w in words]) for name, words in items if words]
+        self.link, self.len = array("i", [-1]), array("i", [0])
+        self.word, self.to = array("i", [-1]), array("i", [-1])  # the first edge
+        self.more: dict[int, int] = {}  # further edges: state and word to state
+        self.fan: dict[int, list[int]] = {}  # words of a state's further edges
+        coded = [(name, array("i", [self.ids.setdefault(w, len(self.ids)) for w in words])) for name, words in items if words]
         for _, seq in coded:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
         n = len(self.len)
-        self.items: list[set[str]] = [set() for _ in range(n)]
-        self.whole: list[list[tuple[int, str]]] = [[] for _ in range(n)]
+        self.names = sorted({name for name, _ in coded}, key=lambda x: (x is None, x))
+        number = {name: i for i, name in enumerate(self.names)}
+        self.item = array("i", [-1]) * n  # the item of a state, -2: several, in ``items``
+        self.items: dict[int, set[int]] = {}
+        self.whole: dict[int, list[tuple[int, int]]] = {}
         for name, seq in coded:
-            at = 0
+            who, at = number[name], 0
             for c in seq:
-                at = self.next[at][c]
-                up = at
-                while up > 0 and self.len[up] >= window and name not in self.items[up]:
-                    self.items[up].add(name)
+                at = up = self.step(at, c)
+                while up > 0 and self.len[up] >= window and self._mark(up, who):
                     up = self.link[up]
             if len(seq) < window:
-                self.whole[at].append((len(seq), name))
+                self.whole.setdefault(at, []).append((len(seq), who))
         # the nearest state, itself included, towards the root with a whole short item
-        self.short = [0] * n
-        for s in sorted(range(1, n), key=self.len.__getitem__):
-            self.short[s] = s if self.whole[s] else self.short[self.link[s]]
+        self.short = array("i", [0]) * n
+        if self.whole:
+            for s in sorted(range(1, n), key=self.len.__getitem__):
+                self.short[s] = s if s in self.whole else self.short[self.link[s]]
         self.least = min([window, *(len(seq) for _, seq in coded)])
 
+    def step(self, state: int, c: int) -> int:
+        """The state behind an edge, or -1."""
+        return self.to[state] if self.word[state] == c else self.more.get(state << 32 | c, -1)
+
+    def _mark(self, state: int, who: int) -> bool:
+        """Add an item to a state; False if it was there."""
+        old = self.item[state]
+        if old == who or (old == -2 and who in self.items[state]):
+            return False
+        if old == -2:
+            self.items[state].add(who)
+        elif old >= 0:
+            self.item[state], self.items[state] = -2, {old, who}
+        else:
+            self.item[state] = who
+        return True
+
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
-            q = self.next[last][c]
+        q = self.step(last, c)
+        if q >= 0:
             return q if self.len[q] == self.len[last] + 1 else self._clone(last, c, q)
-        cur = self._state(self.len[last] + 1, {})
+        cur = self._state(self.len[last] + 1, 0)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = cur
+        while p >= 0 and self.step(p, c) < 0:
+            self._edge(p, c, cur)
             p = self.link[p]
-        if p < 0:
-            self.link[cur] = 0
-        else:
-            q = self.next[p][c]
+        if p >= 0:
+            q = self.step(p, c)
             self.link[cur] = q if self.len[q] == self.len[p] + 1 else self._clone(p, c, q)
         return cur
 
-    def _state(self, size: int, edges: dict[int, int], link: int = 0) -> int:
-        self.next.append(edges), self.len.append(size), self.link.append(link)
+    def _state(self, size: int, link: int) -> int:
+        self.len.append(size), self.link.append(link), self.word.append(-1), self.to.append(-1)
         return len(self.len) - 1
 
+    def _edge(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            if state << 32 | c not in self.more:
+                self.fan.setdefault(state, []).append(c)
+            self.more[state << 32 | c] = to
+
     def _clone(self, p: int, c: int, q: int) -> int:
-        new = self._state(self.len[p] + 1, dict(self.next[q]), self.link[q])
+        new = self._state(self.len[p] + 1, self.link[q])
+        self.word[new], self.to[new] = self.word[q], self.to[q]
+        for w in self.fan.get(q, ()):
+            self._edge(new, w, self.more[q << 32 | w])
         self.link[q] = new
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        while p >= 0 and self.step(p, c) == q:
+            self._edge(p, c, new)
             p = self.link[p]
         return new
 
-    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Disjoint [first, end) ranges of hit words and the items that occur."""
         get = self.ids.get
         codes = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (codes >= 0).astype(np.int8), [0]])))
         found: list[tuple[int, int]] = []
-        names: set[str] = set()
+        who: set[int] = set()
         for a, b in edges.reshape(-1, 2).tolist():
             if b - a >= self.least:
-                self._stream(codes[a:b].tolist(), a, found, names)
-        return _unite(found), names
+                self._stream(codes[a:b].tolist(), a, found, who)
+        return _unite(found), {self.names[i] for i in who}
 
-    def _stream(self, codes: list[int], base: int, found: list, names: set[str]) -> None:
+    def _stream(self, codes: list[int], base: int, found: list, who: set[int]) -> None:
         state = size = 0
+        word, to, more, link, length, window = self.word, self.to, self.more, self.link, self.len, self.window
         for i, c in enumerate(codes, base + 1):
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                size = self.len[state]
-            if c in self.next[state]:
-                state, size = self.next[state][c], size + 1
-            else:
-                size = 0
-            if size >= self.window:
+            nxt = to[state] if word[state] == c else more.get(state << 32 | c, -1)
+            while nxt < 0 and state:
+                state = link[state]
+                size = length[state]
+                nxt = to[state] if word[state] == c else more.get(state << 32 | c, -1)
+            state, size = (nxt, size + 1) if nxt >= 0 else (0, 0)
+            if size >= window:
                 found.append((i - size, i))
                 up = state
-                while self.len[self.link[up]] >= self.window:
-                    up = self.link[up]
-                names |= self.items[up]
+                while length[link[up]] >= window:
+                    up = link[up]
+                if self.item[up] == -2:
+                    who |= self.items[up]
+                else:
+                    who.add(self.item[up])
             up = self.short[state]
             while up:
                 for n, name in self.whole[up]:
                     if n <= size:
                         found.append((i - n, i))
-                        names.add(name)
-                up = self.short[self.link[up]]
+                        who.add(name)
+                up = self.short[link[up]]
 
 
 def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
@@ -145,7 +183,7 @@ def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Reco
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += batch.nbytes
+        size += int(sum(sizes(c).sum() for c in batch.columns if c.type in (pa.string(), pa.binary())))
         if size >= most:
             yield held
             held, size = [], 0
@@ -195,7 +233,7 @@ def match_batches(blocks: list, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(blocks, window)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        for held in _held(batches, _HELD if len(blocks) > 1 else 0):
+        for held in _held(pieces(batches, 1), _HELD if len(blocks) > 1 else 0):
             for batch, found in zip(held, find([b.column(1) for b in held]), strict=True):
                 n = [words for words, _, _ in found]
                 spans = [[{"first": a, "end": b} for a, b in got] for _, got, _ in found]
@@ -248,7 +286,7 @@ def contamination(
     and null document ids keep a row each; other columns are ignored.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(match_batches(_blocks(items, item_id, item_text, max_tokens), window), SCHEMA)
+    return src.mapInArrow(tidy(match_batches(_blocks(items, item_id, item_text, max_tokens), window)), SCHEMA)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -292,7 +330,7 @@ def cut_batches(at: int, max_coverage: float, blocks: list, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(blocks, window)
-        for held in _held(batches, _HELD if len(blocks) > 1 else 0):
+        for held in _held(pieces(batches, at), _HELD if len(blocks) > 1 else 0):
             for batch, found in zip(held, find([b.column(at) for b in held]), strict=True):
                 texts, stay = [], []
                 for t, (n, got, _) in zip(batch.column(at).cast(pa.binary()), found, strict=True):
@@ -321,7 +359,9 @@ def decontaminate(
     """``docs`` without benchmark spans; documents covered beyond ``max_coverage`` go whole.
 
     A document is dropped when more than that share of its words is hit, or when
-    no word is left.  This is a narrow pass: each row is judged by its own text.
+    no word is left.  This is a narrow pass: each row is judged by its own text,
+    so null and repeated ids need no rule; null and empty texts stay as they are;
+    an empty table stays empty; columns are unchanged, whatever their names.
     """
     at = docs.columns.index(text)
-    return docs.mapInArrow(cut_batches(at, max_coverage, _blocks(items, item_id, item_text, max_tokens), window), docs.schema)
+    return docs.mapInArrow(tidy(cut_batches(at, max_coverage, _blocks(items, item_id, item_text, max_tokens), window)), docs.schema)
