@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkogram.llm.textstats import COUNTS, bounded_sample, counted_rows, ratios, text_counts
+from sparkogram.llm.textstats import bounded_sample, counted_rows, one_row_each, ratios, text_counts
 from sparkogram.runtime import cut
 
 
@@ -125,22 +125,20 @@ def keep_expression(rules: list[Rule], columns: dict[str, Column]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def labelled(counts: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Statistics of at most ``max_rows`` labelled documents (by a hash order), one row per id."""
-    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("label is not null")
-    one = one.groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = bounded_sample(one, max_rows)
-    return counts.join(picked, "doc_id").dropDuplicates(["doc_id"])
+def picked_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """(doc_id, label) of at most ``max_rows`` labelled ids (by a hash order)."""
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
+    return bounded_sample(one.groupBy("doc_id").agg(F.max("label").alias("label")), max_rows)
 
 
-def learn_rules(counts: DataFrame, labels: DataFrame, max_rows: int = 30_000, **options) -> list[Rule]:
-    """A decision list from ``labels`` (doc_id, quality) and the counts of those documents.
+def learn_rules(counts: DataFrame, picked: DataFrame, **options) -> list[Rule]:
+    """A decision list from ``picked`` labels and the counts of those documents.
 
-    Fitting reads at most ``max_rows`` labelled rows (a documented bound; the
-    driver holds their 14 ratios).  Without labels of both kinds there are no rules.
+    The driver holds the 14 ratios of the picked rows, a documented bound.
+    Without labels of both kinds there are no rules.
     """
     columns = ratios(counts)
-    rows = labelled(counts, labels, "quality", max_rows).orderBy("doc_id")
+    rows = one_row_each(counts.join(F.broadcast(picked), "doc_id"), "label").orderBy("doc_id")
     got = rows.select("label", *(c.alias(k) for k, c in columns.items())).toPandas()
     if got.empty or got["label"].nunique() < 2:
         return []
@@ -157,13 +155,16 @@ def quality_report(docs: DataFrame, labels: DataFrame, counts: DataFrame | None
     """Base counts, ``base_failed`` and ``kept`` of every document.
 
     ``base_failed``: under 50 words, or more than half of the words repeat in
-    3-word windows.  Other documents are judged by the learned list.  Defined
-    results: null or empty texts have zero counts and fail; repeated ids keep a
-    row each; labels with a null are ignored, of contradicting labels the higher
-    counts; an empty table gives no rows; columns other than doc_id and text are ignored.
+    3-word windows.  Other documents are judged by the learned list, which is
+    fitted on at most ``max_rows`` labelled rows (a documented bound).  Defined
+    results: null or empty texts have zero counts and fail; repeated and null ids
+    keep a row each, and a labelled id with several texts is learned from the one
+    with the least counts; labels with a null are ignored, of contradicting labels
+    the higher counts; an empty table gives no rows; columns other than doc_id
+    and text are ignored.
     """
     counts = text_counts(docs) if counts is None else counts
-    rules = learn_rules(counts, labels, max_rows, **options)
+    rules = learn_rules(counts, picked_labels(labels, "quality", max_rows), **options)
     failed, kept = _verdicts(counts, rules)
     return counts.select(
         "doc_id",
@@ -180,9 +181,13 @@ def quality_report(docs: DataFrame, labels: DataFrame, counts: DataFrame | None
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, **options) -> DataFrame:
     """``docs`` without the rows that the report rejects; columns unchanged.
 
-    Each row is judged by its own text, whatever its id is.
+    The texts of the picked labels are counted first and the list learned from
+    them; then one narrow pass judges each row by its own text, whatever its id
+    is: rows with null or repeated ids, or null texts, are treated like any other
+    (a null text fails the base checks and goes), an empty table stays empty.
     """
-    rows = cut(counted_rows(docs), "counted")
-    counts = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), *COUNTS)
-    _, kept = _verdicts(counts, learn_rules(counts, labels, max_rows, **options))
-    return rows.where(kept).select("row.*")
+    picked = cut(picked_labels(labels, "quality", max_rows), "picked")
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+    rules = learn_rules(text_counts(few), picked, **options)
+    rows = counted_rows(docs)
+    return rows.where(_verdicts(rows, rules)[1]).select("row.*")
