@@ -28,6 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkogram.llm.textops import pieces, tidy
 from sparkogram.runtime import cut, scratch_path
 
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -90,7 +91,7 @@ def write_batches(folder: str, max_bytes: int, level: int, date: str):
             row = [[f"{folder}/{stem}-{number:05d}.warc.gz"], [count], [size]]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["archive", "records", "bytes"])
 
-        for batch in batches:
+        for batch in pieces(batches, 2):
             for page, url, html, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     out, size, count = system.open_output_stream(f"{base}/{stem}-{number:05d}.warc.gz", compression=None), 0, 0
@@ -126,10 +127,11 @@ def write_archives(
     src = src.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     small = F.octet_length(F.coalesce("html", F.lit(""))) < min_bytes
     keys = src.select("page_id", "sha", small.alias("small"))
-    first = keys.where("not small").groupBy("sha").agg(F.min("page_id").alias("source"))
+    # written before it is joined back: then adaptive execution can split a payload that very many pages share
+    first = cut(keys.where("not small").groupBy("sha").agg(F.min("page_id").alias("source")), "first")
     roles = keys.where("not small and page_id is not null").join(first, "sha").where("page_id <> source").distinct()
     rows = src.join(roles.select("page_id", "sha", "source"), ["page_id", "sha"], "left").select("page_id", "url", "html", "source")
-    return cut(rows.mapInArrow(write_batches(folder, max_bytes, level, date), "archive string, records long, bytes long"), "manifest")
+    return cut(rows.mapInArrow(tidy(write_batches(folder, max_bytes, level, date)), "archive string, records long, bytes long"), "manifest")
 
 
 class Damaged(ValueError):
@@ -147,6 +149,7 @@ class Block(NamedTuple):
     payload_sha1: str | None  # known when it was checked or the headers give no digest
     vouched: bool  # a digest of the block or payload was there and held
     doubt: str | None = None  # what failed in its member
+    inner: tuple[int, int] | None = None  # [first, end) of the record in its member's decoded bytes
 
     @property
     def payload_bytes(self) -> int:
@@ -227,18 +230,28 @@ def parse_record(read, at: int, size: int) -> tuple[dict[str, str], Block, int]:
     return headers, Block(read, start, split, body, stop, part and _base32(part), bool(whole or check)), stop + 4
 
 
+class Gap(NamedTuple):
+    """Quarantined bytes: of the archive, or, where its member gave records, of the member's decoded bytes."""
+
+    start: int
+    end: int
+    reason: str
+    inner: tuple[int, int] | None = None
+
+
 class Salvage:
-    """Iterates over the records of an archive of ``size`` bytes; ``gaps`` gets (start, end, reason).
+    """Iterates over the records of an archive of ``size`` bytes; ``gaps`` gets what is in no record.
 
-    A damaged member is a gap from end to end, and the records in it that are
-    whole are yielded all the same: those before a cut-off, and, when its data or
-    checksum fail, those of several that a digest vouches for.  No digest covers
-    headers, so the block of such a record names what failed as its ``doubt``.
+    Of a damaged member the records that are whole are yielded all the same: those
+    before a cut-off, and, when its data or checksum fail, those of several that a
+    digest vouches for.  No digest covers headers, so the block of such a record
+    names what failed as its ``doubt``.  The gaps of such a member are the ranges of
+    its decoded bytes between its records; a member without any is one gap.
     """
 
     def __init__(self, read_at, size: int):
         self.read_at, self.size = read_at, size
-        self.gaps: list[tuple[int, int, str]] = []
+        self.gaps: list[Gap] = []
 
     def _member(self, at: int, out) -> tuple[int, str | None]:
         """Writes the decoded member to a file; (where decoding ended, what failed)."""
@@ -291,10 +304,11 @@ class Salvage:
         return self.size
 
     def _gap(self, start: int, end: int, reason: str) -> None:
-        if self.gaps and self.gaps[-1][1] == start:
-            self.gaps[-1] = (self.gaps[-1][0], end, self.gaps[-1][2])
+        old = self.gaps[-1] if self.gaps else None
+        if old and old.end == start and old.inner is None:
+            self.gaps[-1] = old._replace(end=end)
         else:
-            self.gaps.append((start, end, reason))
+            self.gaps.append(Gap(start, end, reason))
 
     def _records(self, at: int) -> Iterator[tuple[int, int, dict[str, str], Block]]:
         """The records of the member at an offset; returns where to go on."""
@@ -306,6 +320,7 @@ class Salvage:
 
             end, torn = self._member(at, file)
             size, pos, sound, why = file.seek(0, os.SEEK_END), 0, 0, torn
+            holes: list[tuple[int, int, str]] = []
             while 0 <= pos < size:
                 try:
                     headers, block, after = parse_record(read, pos, size)
@@ -315,11 +330,17 @@ class Salvage:
                     why = why or str(e)
                     pos = _find(read, _VERSION, pos + 1, size)
                     continue
-                yield at, end, headers, block._replace(doubt=torn)
+                if pos > sound:
+                    holes.append((sound, pos, why or "no version line"))
+                yield at, end, headers, block._replace(doubt=torn, inner=(pos, after))
                 pos = sound = after
+        if why and sound < size:
+            holes.append((sound, size, why))
         if torn:  # a decoder may run on into later members, but not before the end of a sound record
             end = self._next(max(at + 1, self._reach(at, sound - 1)))
-        if why:
+        if why and sound:
+            self.gaps += [Gap(at, end, reason, (a, b)) for a, b, reason in holes or [(size, size, why)]]
+        elif why:
             self._gap(at, end, why)
         return end
 
@@ -343,15 +364,18 @@ class Salvage:
             at = end
 
 
+#: Tasks of one reading job at most; beyond that many archives a task reads several.
+MAX_TASKS = 50_000
+
 READ = (
-    "archive string, offset long, end long, kind string, record_type string, record_id string, target_uri string, "
+    "archive string, offset long, end long, inner_offset long, inner_end long, kind string, record_type string, record_id string, target_uri string, "
     "payload_bytes long, payload_digest string, refers_to string, reason string, payload binary"
 )
 
 
 def read_batches(payloads: bool):
     """mapInArrow function: (archive) to READ rows, a row per record and per gap."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), *[pa.string()] * 3, pa.binary()]
+    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 4, pa.int64(), *[pa.string()] * 3, pa.binary()]
     names = [x.split()[0] for x in READ.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -373,14 +397,14 @@ def read_batches(payloads: bool):
                         digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or block.payload_sha1
                         payload = block.payload() if payloads and block.payload_bytes <= _VALUE else None
                         rows.append(
-                            (archive, at, end, "record", h.get("warc-type"), h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"), n, digest,
+                            (archive, at, end, *(block.inner or (None, None)), "record", h.get("warc-type"), h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"), n, digest,
                              h.get("warc-refers-to", "").strip("<>") or None, block.doubt, payload)
                         )
                         held += len(payload or b"")
                         if len(rows) >= 2048 or held > 8 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
-                    rows += [(archive, a, b, "gap", None, None, None, None, None, None, why, None) for a, b, why in salvage.gaps]
+                    rows += [(archive, g.start, g.end, *(g.inner or (None, None)), "gap", None, None, None, None, None, None, g.reason, None) for g in salvage.gaps]
                     if rows:
                         yield batch_of(rows)
 
@@ -391,13 +415,18 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """READ rows of the archives named in the first column: records and quarantined gaps.
 
     Defined results: an empty archive gives no rows; a wholly unreadable one a
-    single gap from end to end; no byte is in no record and no gap; a record out
-    of a member whose gzip data fail or break off has that as its reason.  Records
-    may have any size; a payload beyond what a value of Spark holds (2 GiB) is null
+    single gap from end to end; no byte is in no record and no gap, and none in
+    both: ``offset`` and ``end`` are the bytes of a member or plain record, and
+    ``inner_offset`` and ``inner_end`` the place in the member's decoded bytes; a
+    record out of a member whose gzip data fail or break off has that as its
+    reason.  Every archive is a task of its own (archives are written in pieces of
+    ``max_bytes``), so reading spreads however small their list is.  Records may have any size; a payload beyond what a value of Spark holds (2 GiB) is null
     in ``payload``, its length and digest stand.
     """
-    name = archives.columns[0]
-    return archives.select(F.col(name).alias("archive")).mapInArrow(read_batches(payloads), READ)
+    named = archives.select(F.col(archives.columns[0]).alias("archive"))
+    count = named.count()
+    spread = named.repartitionByRange(min(count, MAX_TASKS), "archive") if count > 1 else named
+    return spread.mapInArrow(tidy(read_batches(payloads)), READ)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
@@ -408,7 +437,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder, **options)
-    got = read_archives(manifest.select("archive").distinct()).where("kind = 'record'")
+    got = read_archives(manifest.select("archive")).where("kind = 'record'")
     number = lambda c: F.expr(f"try_cast(substring({c}, 12) as bigint)")  # noqa: E731  after urn:x-page:
     return got.select(
         number("record_id").alias("page_id"),
