@@ -9,7 +9,8 @@ with their longest common prefixes visit it depth first) and the last-token
 states of the current path are a stack; a prefix that many words share is
 encoded once.  Following last tokens backwards from a word's end gives its ids.
 
-The vocabulary file is a parameter and is read on the executors.
+The vocabulary file is a parameter and is read on the executors; one of another
+kind (normaliser, splitter, model) is refused.
 """
 
 from __future__ import annotations
@@ -21,17 +22,21 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: A worker forgets its word table beyond this many entries.
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 500_000
-#: Texts whose new words share one trie.
+from sparkogram.llm.textops import pieces, tidy, worker_table
+
+#: Beyond this many entries a worker forgets the words that the last group of texts did not have.
+CACHE_WORDS = 120_000
+CACHE_PAIRS = 200_000
+#: Texts, and bytes of text, whose new words share one trie.
 GROUP = 1024
+GROUP_BYTES = 2 << 20
 #: Stands for a word's end in the suffix index; no byte maps to it.
 _END = "\uffff"
 
@@ -48,6 +53,27 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in set(keep) else chr(next(rest)) for b in range(256)]
 
 
+#: Settings of a vocabulary file that :class:`TrieBPE` implements.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def _check(spec: dict) -> None:
+    """Refuse vocabulary files whose normaliser, splitter or model work in another way."""
+    splitter = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    fits = (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and [x.get("type") for x in splitter] == ["Split", "ByteLevel"]
+        and (splitter[0].get("behavior"), splitter[0].get("invert")) == ("Removed", True)
+        and not (splitter[1].get("add_prefix_space") or splitter[1].get("use_regex"))
+        and spec.get("decoder") is None
+        and all(spec["model"].get(k, v) == v for k, v in _MODEL.items())
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    )
+    if not fits:
+        raise ValueError("a vocabulary file of another kind: normaliser, splitter, model or decoder differ")
+
+
 class TrieBPE:
     """Vocabulary tables and the traversal."""
 
@@ -56,6 +82,7 @@ class TrieBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        _check(spec)
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.text = {i: t for t, i in self.vocab.items()}
@@ -248,23 +275,31 @@ class TrieBPE:
                 split.append(row)
                 seen.update(row)
             fresh = seen.difference(known)
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-                fresh = seen
             special = {w for w in fresh if w[0] == _ADDED}
             known.update((w, (1, str(self.added[w[1:]]), w[1:])) for w in special)
             self._learn(fresh - special)
             for row in split:
                 yield [known[w] for w in row]
+            if len(known) > CACHE_WORDS:
+                kept = {w: known[w] for w in seen} if 2 * len(seen) < CACHE_WORDS else {}
+                known.clear()
+                known.update(kept)
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens joined by one space, special tokens included."""
-        return " ".join([self.text[i] for i in ids])
+        """The tokens joined by one space, special tokens included; nulls and ids beyond the vocabulary are left out."""
+        return " ".join([self.text[i] for i in ids if i in self.text])
+
+
+#: What a worker keeps its tables under.
+_KEEPS = "bpe"
 
 
-@lru_cache(maxsize=4)
 def coder(path: str) -> TrieBPE:
-    return TrieBPE(path)
+    """The worker's coder, made anew for another file."""
+    got = worker_table(_KEEPS, lambda: TrieBPE(path))
+    if got.path != path:
+        got.__init__(path)
+    return got
 
 
 def encode_batches(path: str):
@@ -272,14 +307,14 @@ def encode_batches(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [[int(i) for _, s, _ in row for i in s.split()] for row in bpe.encode_batch(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+        for part in pieces(batches, 1, most=GROUP_BYTES, rows=GROUP):
+            ids = [np.fromstring(" ".join([s for _, s, _ in row]), np.int32, sep=" ") for row in bpe.encode_batch(part.column(1).to_pylist())]
+            size = [len(x) for x in ids]
+            offsets = pa.array(np.cumsum([0, *size]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))],
+                names=["doc_id", "n_tokens", "ids"],
+            )
 
     return run
 
@@ -289,7 +324,7 @@ def digest_batches(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in batches:
+        for batch in pieces(batches, 1, most=GROUP_BYTES, rows=GROUP):
             n, ids, back = [], [], []
             for row in bpe.encode_batch(batch.column(1).to_pylist()):
                 n.append(sum([k[0] for k in row]))
@@ -309,8 +344,10 @@ def decode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                texts = [bpe.decode(x or []) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
 
@@ -326,15 +363,20 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     written out in a text become their ids; repeated and null ids keep one row
     each; an empty table gives no rows; other columns are ignored.
     """
-    return _source(docs, doc_id, text).mapInArrow(encode_batches(path), "doc_id long, n_tokens long, ids array<int>")
+    return _source(docs, doc_id, text).mapInArrow(tidy(encode_batches(path), _KEEPS), "doc_id long, n_tokens long, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Like :func:`encode`, with SHA-256 of the ids and of the decoded text instead of the ids."""
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _source(docs, doc_id, text).mapInArrow(digest_batches(path), fields)
+    return _source(docs, doc_id, text).mapInArrow(tidy(digest_batches(path), _KEEPS), fields)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
-    return tokens.select("doc_id", "ids").mapInArrow(decode_batches(path), "doc_id long, text string")
+    """(doc_id, text) from (doc_id, ids).
+
+    Defined results: null or empty ids give an empty text; nulls among the ids and
+    ids beyond the vocabulary are left out, as the library does; null and repeated
+    doc_ids keep a row each; an empty table gives no rows; other columns are ignored.
+    """
+    return tokens.select("doc_id", "ids").mapInArrow(tidy(decode_batches(path), _KEEPS), "doc_id long, text string")
