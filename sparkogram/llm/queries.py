@@ -150,7 +150,7 @@ WITH e AS (
     WHEN kind = 'call' THEN 'pending' ELSE 'orphan' END AS status FROM j
 )
 SELECT conv_id, turn, role, kind, id,
-  CASE WHEN kind = 'result' THEN greatest(turn, coalesce(other, turn)) ELSE turn END AS place,
+  CASE WHEN kind = 'result' THEN greatest(turn, coalesce(other, turn)) ELSE turn END AS place, 0::BIGINT AS depth,
   CASE kind WHEN 'message' THEN 0 WHEN 'call' THEN 1 ELSE 2 END AS rank, status, '' AS errors,
   CASE kind
     WHEN 'call' THEN '{"arguments":{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || id
@@ -159,6 +159,18 @@ SELECT conv_id, turn, role, kind, id,
       || status || '","type":"result"}'
     ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '","type":"message"}' END AS json
 FROM s
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages
+), s AS (
+  SELECT page_id, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS source, unhex(sha1(body))::BIT::VARCHAR AS bits FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+      + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = source THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> source THEN source END AS refers_to
+FROM s
 """,
     "op4_minhash": rf"""
 WITH RECURSIVE w AS (
