@@ -109,9 +109,32 @@ def test_substring_edge_cases(spark, none):
 
 def test_reference_block_checks_windows_across_factor_borders():
     block = substring_rlz.ReferenceBlock(3)
-    block.factor(0, b"a b c d".split())
-    block.factor(1, b"c d e f".split())
-    assert block.factor(2, b"a b c d e f".split()) == [(0, 4), (2, 6)]
+    assert block.factor(0, 10, b"a b c d".split()) == []
+    assert block.factor(1, 20, b"c d e f".split()) == []
+    assert block.factor(2, 30, b"a b c d e f".split()) == [(0, 4, 0, 10), (2, 6, 1, 20)]
+
+
+def test_reference_block_takes_the_longest_source():
+    block = substring_rlz.ReferenceBlock(3)
+    block.factor(0, 0, b"a b c x y".split())
+    assert block.factor(1, 0, b"p a b c q r s t".split()) == [(1, 4, 0, 0)]
+    assert block.factor(2, 0, b"a b c q r s z".split()) == [(0, 6, 1, 1)]
+
+
+def test_factors_run_on_over_phrase_borders(spark):
+    """Long copies are one factor each, although they are dealt out as phrases, small and large blocks alike."""
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(50)}" for _ in range(900)]
+    rows = [(1, text), (2, ["x"] * 7 + text[100:700] + ["y"] * 5), (3, text[300:360] + ["z"] + text[500:900])]
+    docs = spark.createDataFrame([(d, 0, " ".join(w)) for d, w in rows], "doc_id long, print long, text string")
+    for most in (1 << 16, 0):
+        got = substring_rlz.repeated_factors(docs, max_windows=most).collect()
+        assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in got) == [(2, 7, 607, 1, 100), (3, 0, 60, 1, 300), (3, 61, 461, 1, 500)]
+
+
+def test_large_blocks_give_the_rows_of_small_ones(docs):
+    for m in (50, 5):
+        assert found(substring_rlz.substring_report(docs, m, max_windows=0), "n_words", "n_removed", "kept_sha256") == B.substrings(ROWS, m)
 
 
 def test_contamination_equals_brute_force(spark, docs):
@@ -232,14 +255,39 @@ def test_mining_finds_rare_terms_behind_many_common_ones(spark):
 
 
 def test_label_model_finds_accuracies_and_correlations():
+    """Voters of both classes, one of them nearly a copy of another, one that is wrong half of the time."""
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
     fire = lambda p, q: np.where(y, rng.random(4000) < p, rng.random(4000) < q)
-    a, b, c = fire(0.7, 0.01), fire(0.6, 0.02), fire(0.5, 0.01)
-    model = toxicity_weak.fit_label_model(np.column_stack([a, a, b, c]).astype(float), 0.2)
-    assert model.correlation[0, 1] > 0.9 and model.weight[0] < 0.6 < model.weight[2]
-    assert model.accuracy[0] > 0.8
-    assert np.mean((model.posterior(np.column_stack([a, a, b, c]).astype(float)) > 0.5) == y) > 0.93
+    a, b, c, clean, poor = fire(0.7, 0.01), fire(0.6, 0.02), fire(0.5, 0.01), fire(0.02, 0.4), fire(0.2, 0.05)
+    near = a & (rng.random(4000) < 0.98)
+    table = np.column_stack([a, near, b, c, clean, poor])
+    votes = toxicity_weak.Votes([np.flatnonzero(r).tolist() for r in table], 6)
+    toxic = np.array([0.5, 0.5, 0.5, 0.5, 0.1, 0.3]), np.array([0.05, 0.05, 0.05, 0.05, 0.3, 0.05])
+    model = toxicity_weak.fit_label_model(votes, 0.2, toxic, worth=0.02)
+    assert {int(model.parent[0]), int(model.parent[1])} & {0, 1} and model.correlation[:2].max() > 0.9
+    assert abs(model.correlation[2:]).max() < 0.5
+    truth = np.array([y[v].mean() for v in table.T[:4]] + [1 - y[clean].mean(), y[poor].mean()])
+    assert np.abs(model.accuracy - truth).max() < 0.08
+    assert np.mean((model.posterior(votes) > 0.5) == y) > 0.93
+    # two voters that are one weigh like one
+    alone = toxicity_weak.Votes([[0, 1], [2], [0], []], 6)
+    both, other, single, none = model.posterior(alone)
+    assert abs(np.log(both / (1 - both)) - np.log(single / (1 - single))) < 4.5 and both > 0.5 > none
+
+
+def test_voters_that_fire_together_are_one():
+    votes = toxicity_weak.Votes([[0, 2, 3], [1], [0, 2], []], 4)
+    once, twin = votes.merged()
+    assert twin.tolist() == [0, 1, 0, 3] and once.m == 3
+    assert [once.voter[once.row == i].tolist() for i in range(4)] == [[0, 2], [1], [0], []]
+    x = np.array([[1, 0, 0.5], [0, 1, 0.2], [1, 1, 0.1], [0, 0, 0.9]])
+    pairs = toxicity_weak.Votes([np.flatnonzero(r[:2]).tolist() for r in x], 2)
+    y = np.array([0.9, 0.2, 0.6, 0.1])
+    extra = np.column_stack([x[:, 2], np.ones(4)])
+    w, full, penalty = toxicity_weak.fit_linear(pairs, extra, y), np.column_stack([x[:, :2], extra]), np.array([1, 1, 1, 1e-3])
+    slope = full.T @ (1 / (1 + np.exp(-full @ w)) - y) + penalty * w
+    assert np.abs(slope).max() < 1e-4
 
 
 # ---- urls ------------------------------------------------------------------------------------
@@ -316,13 +364,13 @@ def test_salvage_of_damaged_archives():
                 bad[i] ^= 0xFF
             ids, gaps = _salvaged(bytes(bad))
             assert ids == names[:hurt] + names[hurt + 1 :]
-            assert [(a, b) for a, b, _ in gaps] == [(at[hurt], at[hurt + 1])]
+            assert [g[:2] for g in gaps] == [(at[hurt], at[hurt + 1])]
         ids, gaps = _salvaged(whole[: at[3] + 30])
-        assert ids == names[:3] and [(a, b) for a, b, _ in gaps] == [(at[3], at[3] + 30)]
+        assert ids == names[:3] and [g[:2] for g in gaps] == [(at[3], at[3] + 30)]
         ids, gaps = _salvaged(b"junk" + parts[0] + b"\0" * 50 + parts[1])
-        assert ids == names[:2] and [(a, b) for a, b, _ in gaps] == [(0, 4), (4 + len(parts[0]), 54 + len(parts[0]))]
+        assert ids == names[:2] and [g[:2] for g in gaps] == [(0, 4), (4 + len(parts[0]), 54 + len(parts[0]))]
     assert _salvaged(b"") == ([], [])
-    assert _salvaged(b"no archive at all") == ([], [(0, 17, "no member or version line")])
+    assert _salvaged(b"no archive at all") == ([], [(0, 17, "no member or version line", None)])
 
 
 def test_salvage_inside_damaged_members():
@@ -336,22 +384,27 @@ def test_salvage_inside_damaged_members():
         pack = gzip.compress(b"".join([*plain[:3], hurt, *plain[4:]]))
         ids, gaps = _salvaged(pack + tail)
         assert ids == [*names[:3], *names[4:], "urn:x-page:99"]
-        assert [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
+        assert [g[:2] for g in gaps] == [(0, len(pack))]
+        start = sum(map(len, plain[:3]))
+        assert [g.inner for g in gaps] == [(start, start + len(hurt))]  # only the damaged record's bytes
     for level in (0, 6):  # stored blocks hold version lines that must not be read twice
         pack = gzip.compress(b"".join(plain), level)
         ids, gaps = _salvaged(pack[: len(pack) * 6 // 10])
-        assert ids == names[:4] and [(a, b) for a, b, _ in gaps] == [(0, len(pack) * 6 // 10)]
+        assert ids == names[:4] and gaps[0].start == 0 and gaps[-1].end == len(pack) * 6 // 10 and all(a.end == b.start for a, b in zip(gaps, gaps[1:]))
+        assert gaps[0].inner[0] == sum(map(len, plain[:4]))
         bad = bytearray(pack)
         bad[-6] ^= 1  # the checksum only: digests vouch for every record
         ids, gaps = _salvaged(bytes(bad) + tail)
-        assert ids == [*names, "urn:x-page:99"] and [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
+        assert ids == [*names, "urn:x-page:99"] and [g[:2] for g in gaps] == [(0, len(pack))]
+        assert gaps[0].inner == (len(b"".join(plain)),) * 2  # no byte of a record
     for at in range(2000, len(pack) - 8, 997):
         bad = bytearray(pack)
         bad[at] ^= 0x55
         ids, gaps = _salvaged(bytes(bad) + tail)
         before = at * 8 // len(pack) - 1
         assert ids[: max(before, 0)] == names[: max(before, 0)] and ids[-1] == "urn:x-page:99" and len(set(ids)) == len(ids)
-        assert [(a, b) for a, b, _ in gaps] == [(0, len(pack))]
+        spans = sorted({g[:2] for g in gaps})
+        assert spans[0][0] == 0 and spans[-1][1] == len(pack) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
 def test_salvage_of_a_record_over_256_mib(tmp_path):
@@ -409,6 +462,7 @@ def test_bpe_forgets_words_without_changing_results(monkeypatch):
     monkeypatch.setattr(bpe_trie, "CACHE_WORDS", 50)
     monkeypatch.setattr(bpe_trie, "CACHE_PAIRS", 20)
     monkeypatch.setattr(bpe_trie, "GROUP", 3)
+    monkeypatch.setattr(bpe_trie, "GROUP_BYTES", 500)
     texts = [t for _, t in ROWS]
     small = list(bpe_trie.TrieBPE(tokenizer_path()).encode_batch(texts))
     monkeypatch.undo()
@@ -428,7 +482,7 @@ def test_chat_linking(spark):
     ]
     turns = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn int, role string, text string, call string")
     schemas = spark.createDataFrame([("add", "x", "number", True), ("add", "y", "integer", True)], "name string, field string, type string, required boolean")
-    got = chat_format.link_events(chat_format.tool_events(turns), schemas).orderBy("conv_id", "place", "rank", "turn", "id").collect()
+    got = chat_format.link_events(chat_format.tool_events(turns), schemas).orderBy("conv_id", "place", "depth", "rank", "turn", "id").collect()
     one = [(r["turn"], r["kind"], r["status"], r["errors"]) for r in got if r["conv_id"] == 1]
     assert one == [
         (0, "message", "message", ""), (2, "call", "linked", ""), (1, "result", "linked", ""), (3, "call", "duplicate", ""),
