@@ -180,6 +180,6 @@ def test_chat_orders_by_needs_and_writes_canonical_numbers(spark):
     events = spark.createDataFrame([ev(9, i, "call", str(i), '{"x": %s}' % n) for i, n in enumerate(forms)], events.schema)
     got = chat_format.link_events(events, schemas.limit(0)).orderBy("turn").collect()
     assert [r["json"].split(',"id"')[0] for r in got] == ['{"arguments":{"x":%s}' % f for f in forms.values()]
-    long = json.dumps({"x": "y" * (17 << 20)})
+    long = json.dumps({"x": "y" * (3 << 20)})
     big = chat_format.link_events(spark.createDataFrame([ev(9, 0, "call", "1", long)], events.schema), schemas).first()
-    assert big["errors"] == "type of x" and len(big["json"]) > 17 << 20
+    assert big["errors"] == "type of x" and len(big["json"]) > 3 << 20
