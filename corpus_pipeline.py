@@ -3,6 +3,12 @@
 Each stage gets the table that the stage before it kept, and its decisions take
 effect on texts: rejected documents and near-duplicates go, repeated spans and
 benchmark spans are cut out.
+
+Defined results: every row is judged by its own text.  Null, empty and short
+texts fail the base rules and go; rows with a null id, and all but one of the
+rows of a repeated id, count as documents behind all others, so repeated rows
+leave one; only null ids never lose words to substring dedup; an empty table
+gives an empty table; extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from sparkogram.runtime import cut, table
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars of the text as it is now."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest document of each near-duplicate component."""
-    return drop_near_duplicates(docs, k=5, percent=85)
+    """Keep the smallest document of each near-duplicate component, five words and a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
