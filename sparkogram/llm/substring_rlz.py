@@ -41,7 +41,7 @@ from sparkogram.runtime import cut, drop_scratch
 
 GRAM = 8
 #: Windows of a block that one task indexes; a larger block is dealt out by whole windows.
-MAX_WINDOWS = 1 << 16
+MAX_WINDOWS = 1 << 13
 #: Places of a window that are compared for the longest agreement; the first place decides whether it repeats.
 PLACES = 8
 
