@@ -40,8 +40,8 @@ from sparkogram.llm.textops import _powers, fresh, gram_hashes, mix, pieces, sli
 from sparkogram.runtime import cut, drop_scratch
 
 GRAM = 8
-#: Windows of a block that one task indexes; a larger block is dealt out by whole windows.
-MAX_WINDOWS = 1 << 13
+#: Windows of a block that one task indexes (about 100 MB); a larger block is dealt out by whole windows.
+MAX_WINDOWS = 1 << 18
 #: Places of a window that are compared for the longest agreement; the first place decides whether it repeats.
 PLACES = 8
 
@@ -214,17 +214,18 @@ def repeated_factors(docs: DataFrame, min_words: int = 50, max_windows: int = MA
     docs = docs.select("doc_id", "print", "text").where("doc_id is not null and text is not null")
     every = cut(docs.mapInArrow(tidy(phrase_batches(min_words)), PHRASES), "phrases")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    occ = cut(every.join(cut(shared.select("anchor"), "anchors"), "anchor", "left_semi"), "shared")
+    # merge joins at every size: tables that happen to be small are not broadcast, so plans are those of large ones
+    occ = cut(every.join(cut(shared.select("anchor"), "anchors").hint("merge"), "anchor", "left_semi"), "shared")
     drop_scratch(every)
     classes = occ.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "print", "first", "windows")).alias("head"))
     classes = cut(classes.select("anchor", "content", "head.*"), "classes")
     blocks = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("windows").alias("size")).where("n > 1")
     blocks = cut(blocks.select("anchor", (F.col("size") > max_windows).alias("large")), "blocks")
-    mixed = classes.join(blocks, "anchor")
+    mixed = classes.join(blocks.hint("merge"), "anchor")
 
     # the words of one phrase per class of a block with several
     heads = mixed.groupBy("doc_id", "print").agg(F.collect_list(F.struct("anchor", "content", "first", "windows", "large")).alias("parts"))
-    texts = cut(docs.join(heads, ["doc_id", "print"]).select("doc_id", "text", "parts").mapInArrow(tidy(excerpt_batches(min_words)), EXCERPTS), "excerpts")
+    texts = cut(docs.join(heads.hint("merge"), ["doc_id", "print"]).select("doc_id", "text", "parts").mapInArrow(tidy(excerpt_batches(min_words)), EXCERPTS), "excerpts")
     small = texts.where("not large").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first")
     factors = small.mapInArrow(tidy(factor_batches(min_words)), FACTORS)
     if blocks.where("large").take(1):
@@ -232,10 +233,10 @@ def repeated_factors(docs: DataFrame, min_words: int = 50, max_windows: int = MA
     factors = cut(factors, "factors")
 
     sources = classes.select("anchor", "content", F.col("doc_id").alias("source"), F.col("first").alias("at"))
-    met = cut(occ.join(sources, ["anchor", "content"]), "met")
+    met = cut(occ.join(sources.hint("merge"), ["anchor", "content"]), "met")
     whole = met.where("doc_id > source").select("doc_id", "print", "first", "windows", "source", "at")
     own = met.where("doc_id = source").select("anchor", "content", "doc_id", "print", F.col("first").alias("begin"))
-    parts = own.join(factors, ["anchor", "content"]).select(
+    parts = own.join(factors.hint("merge"), ["anchor", "content"]).select(
         "doc_id", "print", (F.col("begin") + F.col("shift")).alias("first"), F.col("repeated").alias("windows"), "source", "at"
     )
     found = whole.unionAll(parts).withColumn("end", F.col("first") + F.col("windows") + min_words - 1)
@@ -328,7 +329,7 @@ def _spans_of_rows(docs: DataFrame, min_words: int, doc_id: str, text: str, opti
     found = cut(repeated_spans(src, min_words, **options), "spans")
     found = found.select(F.col("doc_id").alias(key), F.col("print").alias(which), F.col("spans").alias(spans))
     tell = F.xxhash64(text) if repeated else F.lit(0).cast("long")
-    joined = docs.join(found, (F.col(doc_id).cast("long") == F.col(key)) & (tell == F.col(which)), "left")
+    joined = docs.join(found.hint("merge"), (F.col(doc_id).cast("long") == F.col(key)) & (tell == F.col(which)), "left")
     return joined.drop(key, which), spans
 
 

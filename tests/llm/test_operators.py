@@ -127,7 +127,7 @@ def test_factors_run_on_over_phrase_borders(spark):
     text = [f"w{rng.randrange(50)}" for _ in range(900)]
     rows = [(1, text), (2, ["x"] * 7 + text[100:700] + ["y"] * 5), (3, text[300:360] + ["z"] + text[500:900])]
     docs = spark.createDataFrame([(d, 0, " ".join(w)) for d, w in rows], "doc_id long, print long, text string")
-    for most in (1 << 13, 0):
+    for most in (1 << 18, 0):
         got = substring_rlz.repeated_factors(docs, max_windows=most).collect()
         assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in got) == [(2, 7, 607, 1, 100), (3, 0, 60, 1, 300), (3, 61, 461, 1, 500)]
 
