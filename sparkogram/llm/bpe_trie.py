@@ -32,11 +32,11 @@ from tokenizers import Tokenizer
 from sparkogram.llm.textops import pieces, tidy, worker_table
 
 #: Beyond this many entries a worker forgets the words that the last group of texts did not have.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 CACHE_PAIRS = 200_000
 #: Texts, and bytes of text, whose new words share one trie.
-GROUP = 1024
-GROUP_BYTES = 2 << 20
+GROUP = 2048
+GROUP_BYTES = 4 << 20
 #: Stands for a word's end in the suffix index; no byte maps to it.
 _END = "\uffff"
 
@@ -308,7 +308,7 @@ def encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for part in pieces(batches, 1, most=GROUP_BYTES, rows=GROUP):
-            ids = [np.fromstring(" ".join([s for _, s, _ in row]), np.int32, sep=" ") for row in bpe.encode_batch(part.column(1).to_pylist())]
+            ids = [np.array(" ".join([s for _, s, _ in row]).split(), dtype=np.int32) for row in bpe.encode_batch(part.column(1).to_pylist())]
             size = [len(x) for x in ids]
             offsets = pa.array(np.cumsum([0, *size]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
