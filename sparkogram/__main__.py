@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         k = shared or {"fx": f, "fy": f, "cx": first["width"] / 2, "cy": first["height"] / 2}
         K = np.array([[k["fx"], 0, k["cx"]], [0, k["fy"], k["cy"]], [0, 0, 1.0]])
         keypoints = workflow.extract(images, cfg)
-        out = workflow.run(keypoints, cfg, K, known, image_hash=image_set_hash(files))
+        out = workflow.run(keypoints, cfg, K, known, image_hash=image_set_hash(files), names=images.select("image_id", "image_name"))
         workflow.save_points(out.points, cfg.output)
         print(json.dumps(out.summary, default=str))
         return 0

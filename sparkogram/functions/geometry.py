@@ -74,13 +74,16 @@ def distort(x: Column, y: Column, k1: str | Column, k2: str | Column) -> tuple[C
 
 
 def undistort(xd: Column, yd: Column, k1: str | Column, k2: str | Column, rounds: int = 5) -> tuple[Column, Column]:
-    """Inverse of :func:`distort` by fixed-point iteration."""
-    x, y = xd, yd
-    for _ in range(rounds):
+    """Inverse of :func:`distort` by fixed-point iteration (a fold, so the expression stays small)."""
+
+    def step(s: Column, _: Column) -> Column:
+        x, y = s.getField("x"), s.getField("y")
         r2 = x * x + y * y
         f = F.lit(1.0) + _c(k1) * r2 + _c(k2) * r2 * r2
-        x, y = xd / f, yd / f
-    return x, y
+        return F.struct((xd / f).alias("x"), (yd / f).alias("y"))
+
+    got = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(xd.alias("x"), yd.alias("y")), step)
+    return got.getField("x"), got.getField("y")
 
 
 def triangulation_angle(x: list[Column], c1: list[Column], c2: list[Column]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkogram.operators.quantiles import gaps, quantile, quantiles
 from sparkogram.runtime import cut
 
 XYZ = ("x", "y", "z")
@@ -49,7 +50,10 @@ def nearest(queries: DataFrame, cloud: DataFrame, k: int = 1, side: float | None
     points = cloud.select("pid", *(F.col(c).alias(f"p_{c}") for c in XYZ))
     left = queries.select("qid", *(F.col(c).alias(f"q_{c}") for c in XYZ))
     out, diagonal = None, None
+    if want == total or (same and want == total - 1):
+        diagonal = _diagonal(cloud, queries)
     for _ in range(max_rounds):
+        last = diagonal is not None and side >= diagonal
         cell = lambda p, c, s=side: F.floor(F.col(f"{p}_{c}") / F.lit(s))
         a = left
         for c in XYZ:
@@ -59,12 +63,10 @@ def nearest(queries: DataFrame, cloud: DataFrame, k: int = 1, side: float | None
         if same:
             pairs = pairs.where("qid <> pid")
         pairs = pairs.select("qid", "pid", F.sqrt(_square("q_", "p_")).alias("distance"))
+        if not last:  # beyond the side another cell may hold nearer points, so nothing there is ranked
+            pairs = pairs.where(F.col("distance") <= side)
         order = W.partitionBy("qid").orderBy("distance", "pid")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if want == total or (same and want == total - 1):
-            diagonal = diagonal or _diagonal(cloud, queries)
-        sure = ranked if diagonal is not None and side >= diagonal else ranked.where(F.col("distance") <= side)
-        sure = cut(sure, "nearest")
+        sure = cut(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
         done = sure.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= want)
         found = sure.join(done.select("qid"), "qid", "left_semi")
         out = found if out is None else out.unionByName(found)
@@ -95,7 +97,7 @@ def spacing(cloud: DataFrame, sample: int | None = 50_000, seed: int = 0) -> Dat
     if sample is not None and cloud.count() > sample:
         queries = queries.orderBy(F.xxhash64("qid", F.lit(seed)), "qid").limit(sample)
     near = nearest(queries, cloud, 1, same=True).where("distance > 0")
-    return near.agg(F.coalesce(F.expr("percentile(distance, 0.5)"), F.lit(0.0)).alias("spacing"))
+    return cloud.sparkSession.createDataFrame([(quantile(near, "distance", 0.5) or 0.0,)], "spacing double")
 
 
 def kth_distance(cloud: DataFrame, k: int) -> DataFrame:
@@ -113,18 +115,15 @@ def statistical_outliers(cloud: DataFrame, k: int = 20, ratio: float = 2.0) -> D
 def radius_outliers(cloud: DataFrame, k: int, radius: float, max_removal: float) -> DataFrame:
     """Points whose k-th neighbour is within ``radius``, widened so that at most ``max_removal`` of them go."""
     d = cut(kth_distance(cloud, k), "kth")
-    r = d.agg(
-        F.avg((F.col("distance") > radius).cast("double")).alias("beyond"), F.expr(f"percentile(distance, {1 - max_removal!r})").alias("wide")
-    )
-    limit = r.select(F.when(F.col("beyond") > max_removal, F.col("wide")).otherwise(F.lit(radius)).alias("limit"))
-    return d.join(F.broadcast(limit)).where("distance <= limit").select("pid", "distance")
+    beyond = d.agg(F.avg((F.col("distance") > radius).cast("double"))).first()[0] or 0.0
+    limit = quantile(d, "distance", 1 - max_removal) if beyond > max_removal else radius
+    return d.where(F.col("distance") <= limit).select("pid", "distance")
 
 
 def centre_distance(cloud: DataFrame) -> DataFrame:
     """The cloud with ``dist``, the distance from its coordinate-wise median."""
-    centre = cloud.agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"m{c}") for c in XYZ))
-    d = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) ** 2 for c in XYZ))
-    return cloud.join(F.broadcast(centre)).withColumn("dist", d).drop(*(f"m{c}" for c in XYZ))
+    centre = quantiles(cloud, {c: [0.5] for c in XYZ})
+    return cloud.withColumn("dist", F.sqrt(sum((F.col(c) - F.lit(centre[c][0]).cast("double")) ** 2 for c in XYZ)))
 
 
 #: Quantiles at which a cut is tried besides the largest gap.
@@ -144,12 +143,11 @@ def extent_filter(cloud: DataFrame, max_removal: float = 0.05, min_gap: float =
     if n < 100:
         return d.drop("dist")
     # gaps only among the outer points
-    edge = d.agg(F.expr(f"percentile(dist, {1 - max_removal!r})").alias("q")).first()["q"]
-    tail = d.where(F.col("dist") >= edge).select("dist", F.lag("dist").over(W.orderBy("dist")).alias("before"))
-    gap = tail.where(F.col("before") > 0).select((F.col("dist") / F.col("before")).alias("gap"), "before").orderBy(F.desc("gap"), "before").limit(1).collect()
-    cuts = [("gap", gap[0]["before"])] if gap and gap[0]["gap"] >= min_gap else []
     shares = [s for s in EXTENT_SHARES if s <= max_removal]
-    got = d.agg(F.expr(f"percentile(dist, array({', '.join(repr(1 - s) for s in shares)}))").alias("q")).first()["q"]
+    edge, *got = quantiles(d, {"dist": [1 - max_removal, *(1 - s for s in shares)]})["dist"]
+    tail = gaps(d.where(F.col("dist") >= edge), "dist").where(F.col("before") > 0)
+    gap = tail.select((F.col("value") / F.col("before")).alias("gap"), "before").orderBy(F.desc("gap"), "before").limit(1).collect()
+    cuts = [("gap", gap[0]["before"])] if gap and gap[0]["gap"] >= min_gap else []
     cuts += [(f"q{s}", q) for s, q in zip(shares, got, strict=True)]
     # one pass for all cuts: what stays, and its box
     box = lambda when: [f(F.when(when, F.col(c))) for c in XYZ for f in (F.max, F.min)]
@@ -213,19 +211,19 @@ def health(cloud: DataFrame) -> DataFrame:
     """One row of cloud statistics: nearest neighbours, duplicates, flyers, far points, distinct colours."""
     d = cut(centre_distance(cloud), "health")
     near = cut(self_neighbours(cloud, 1).select("distance"), "near")
-    m = near.agg(F.expr("percentile(distance, 0.5)").alias("nn_median"))
-    nn = near.join(F.broadcast(m)).agg(
-        F.first("nn_median").alias("nn_median"),
+    median = F.lit(quantile(near, "distance", 0.5)).cast("double")
+    nn = near.agg(
+        median.alias("nn_median"),
         F.avg("distance").alias("nn_mean"),
         F.avg((F.col("distance") < 1e-9).cast("double")).alias("duplicate_share"),
-        F.avg((F.col("distance") > 10 * F.col("nn_median")).cast("double")).alias("flyer_share"),
+        F.avg((F.col("distance") > 10 * median).cast("double")).alias("flyer_share"),
     )
-    r = d.agg(F.expr("percentile(dist, 0.5)").alias("r_median"))
-    far = d.join(F.broadcast(r)).agg(
+    middle, p95, p99 = (F.lit(x).cast("double") for x in quantiles(d, {"dist": [0.5, 0.95, 0.99]})["dist"])
+    far = d.agg(
         F.count("*").alias("n_points"),
-        F.expr("percentile(dist, 0.95)").alias("radius_p95"),
-        F.expr("percentile(dist, 0.99)").alias("radius_p99"),
-        F.avg((F.col("dist") > 5 * F.col("r_median")).cast("double")).alias("outlier_share"),
+        p95.alias("radius_p95"),
+        p99.alias("radius_p99"),
+        F.avg((F.col("dist") > 5 * middle).cast("double")).alias("outlier_share"),
     )
     return far.join(nn)  # one row each
 

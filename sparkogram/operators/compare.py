@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkogram.operators.quantiles import quantiles
+
 from sparkogram.operators.cloud import nearest
 from sparkogram.operators.mesh import sample_surface
 from sparkogram.operators.reports import distance_summary
@@ -26,7 +28,8 @@ def compare_to_reference(faces: DataFrame, vertices: DataFrame, reference: DataF
 
 def centre_and_scale(cloud: DataFrame) -> DataFrame:
     """The cloud around its median, scaled so that the 98th percentile of absolute coordinates is 1."""
-    mid = cloud.agg(*(F.expr(f"percentile({c}, 0.5)").alias(f"m{c}") for c in XYZ))
+    found = quantiles(cloud, {c: [0.5] for c in XYZ})
+    mid = cloud.sparkSession.createDataFrame([tuple(found[c][0] for c in XYZ)], ", ".join(f"m{c} double" for c in XYZ))
     moved = cloud.join(F.broadcast(mid)).withColumns({c: F.col(c) - F.col(f"m{c}") for c in XYZ}).drop(*(f"m{c}" for c in XYZ))
     size = moved.select(F.explode(F.array(*(F.abs(c) for c in XYZ))).alias("v")).agg(F.expr("percentile(v, 0.98)").alias("s"))
     return moved.join(F.broadcast(size)).withColumns({c: F.try_divide(F.col(c), F.col("s")) for c in XYZ}).drop("s")

@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkogram.kernels.match import ratio_pairs
+from sparkogram.operators.observations import dense_ids
+from sparkogram.runtime import cut
 
 MATCHES = "img_i int, img_j int, ord int, kp_i int, kp_j int, distance double"
 
@@ -177,9 +179,9 @@ def inverse_frequency(tf: DataFrame, n: DataFrame | int | None = None) -> DataFr
 
 def tfidf(tf: DataFrame) -> DataFrame:
     """L2-normalised tf-idf weights (image_id, word, weight); norms up to 1e-10 are left alone."""
+    tf = cut(tf, "tf")  # counted three times, but texts are split once
     raw = tf.join(inverse_frequency(tf), "word").select("image_id", "word", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("image_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "image_id").select(
+    return raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("image_id")))).select(
         "image_id", "word", F.when(F.col("norm") > 1e-10, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("weight")
     )
 
@@ -202,6 +204,7 @@ def nearest_word(keypoints: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = vocabulary.orderBy("word").collect()
     ids = np.array([r["word"] for r in words], np.int64)
     centres = np.array([r["centre"] for r in words], np.float64)
+    sizes = (centres**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +212,17 @@ def nearest_word(keypoints: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 continue
             d = np.asarray(batch.column(2).flatten(), np.float64).reshape(batch.num_rows, -1)
             out = np.empty(len(d), np.int64)
-            for at in range(0, len(d), 256):
-                q = d[at : at + 256]
-                out[at : at + 256] = ids[((q[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)]
+            for at in range(0, len(d), 1024):
+                q = d[at : at + 1024]
+                far = sizes - 2 * (q @ centres.T)  # squared distances less the query's own square
+                best = far.min(axis=1)
+                # products round: what is as near as that is compared by differences, ties to the smaller word
+                near = far <= (best + 1e-9 * (1 + np.abs(best)))[:, None]
+                pick = near.argmax(axis=1)
+                for i in np.flatnonzero(near.sum(axis=1) > 1):
+                    some = np.flatnonzero(near[i])
+                    pick[i] = some[((q[i] - centres[some]) ** 2).sum(axis=1).argmin()]
+                out[at : at + 1024] = ids[pick]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["image_id", "kp_id", "word"])
 
     return keypoints.select("image_id", "kp_id", "descriptor").mapInArrow(run, "image_id int, kp_id int, word long")
@@ -236,7 +247,7 @@ def candidate_pairs(keypoints: DataFrame, strategy: str = "exhaustive", window:
     """
     images = keypoints.select("image_id").distinct()
     if strategy == "sequential":
-        return band_pairs(images.withColumn("rank", F.row_number().over(W.orderBy("image_id")).cast("long")), window)
+        return band_pairs(dense_ids(images, "image_id", "rank"), window)
     if strategy in ("vocab_tree", "retrieval") and images.count() > top_k + 1:
         if strategy == "retrieval":
             return top_pairs(cosine_top(vectors, top_k), top_k)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkogram.operators.components import connected_components
+from sparkogram.operators.quantiles import quantile
+from sparkogram.runtime import cut
 
 XYZ = ("x", "y", "z")
 _SIDES_SQL = "array(named_struct('p', a, 'q', b), named_struct('p', b, 'q', c), named_struct('p', c, 'q', a))"
@@ -71,9 +73,10 @@ def triangle_measures(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def triangle_quality(faces: DataFrame, vertices: DataFrame, sliver: float = 10.0) -> DataFrame:
     """One row: edge length figures, area, aspect, slivers among sound faces, degenerate faces."""
-    m = triangle_measures(faces, vertices)
-    edge = m.select(F.explode(F.array("ab", "bc", "ca")).alias("e")).agg(
-        F.avg("e").alias("edge_mean"), F.expr("percentile(e, 0.5)").alias("edge_median"), F.min("e").alias("edge_min"), F.max("e").alias("edge_max")
+    m = cut(triangle_measures(faces, vertices), "triangles")
+    sides = m.select(F.explode(F.array("ab", "bc", "ca")).alias("e"))
+    edge = sides.agg(
+        F.avg("e").alias("edge_mean"), F.lit(quantile(sides, "e", 0.5)).cast("double").alias("edge_median"), F.min("e").alias("edge_min"), F.max("e").alias("edge_max")
     )
     rest = m.agg(
         F.sum("area").alias("area"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkogram.operators.quantiles import quantile, quantiles
 from sparkogram.runtime import cut
 
 
@@ -50,9 +51,16 @@ def observers(obs: DataFrame) -> DataFrame:
 
 def error_threshold(errors: DataFrame, cap: float) -> DataFrame:
     """One row: the smaller of ``cap`` and median + 3 population deviations of finite errors."""
-    return errors.where("err is not null and not isnan(err) and abs(err) < double('infinity')").agg(
-        F.least(F.lit(cap), F.expr("percentile(err, 0.5)") + 3 * F.stddev_pop("err")).alias("threshold")
-    )
+    finite = errors.where("err is not null and not isnan(err) and abs(err) < double('infinity')")
+    middle = F.lit(quantile(finite, "err", 0.5)).cast("double")
+    return finite.agg(F.least(F.lit(cap), middle + 3 * F.stddev_pop("err")).alias("threshold"))
+
+
+def robust_scale(errors: DataFrame, least: float = 0.5, most: float = 10.0) -> DataFrame:
+    """One row: 1.4826 times the median absolute error, kept between ``least`` and ``most``: the scale of a robust loss."""
+    middle = quantile(errors.select(F.abs("err").alias("err")), "err", 0.5)
+    scale = None if middle is None else min(max(1.4826 * middle, least), most)
+    return errors.sparkSession.createDataFrame([(scale,)], "scale double")
 
 
 def point_errors(obs: DataFrame) -> DataFrame:
@@ -87,15 +95,16 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def error_summary(obs: DataFrame, threshold: float) -> DataFrame:
-    """rmse, mean, median, p95, max, share above threshold and counts over finite errors, in one aggregation."""
+    """rmse, mean, median, p95, max, share above threshold and counts over finite errors."""
     finite = obs.where("err is not null and abs(err) < double('infinity')")
+    median, p95 = (F.lit(x).cast("double") for x in quantiles(finite, {"err": [0.5, 0.95]})["err"])
     return finite.agg(
         F.count("*").alias("n_obs"),
         F.countDistinct("point_id").alias("n_points"),
         F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"),
         F.avg("err").alias("mean"),
-        F.expr("percentile(err, 0.5)").alias("median"),
-        F.expr("percentile(err, 0.95)").alias("p95"),
+        median.alias("median"),
+        p95.alias("p95"),
         F.max("err").alias("max"),
         F.avg((F.col("err") > threshold).cast("double")).alias("share_above"),
     )

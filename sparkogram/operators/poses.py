@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkogram.functions.geometry import matmul, rotation_angle
+from sparkogram.operators.quantiles import quantile
 
 XYZ = ("x", "y", "z")
 
@@ -39,11 +40,10 @@ def loop_pairs(cameras: DataFrame, existing: DataFrame, centre: list[float] | No
     """
     centre = axes_centre(cameras) if centre is None else centre
     d0 = F.sqrt(sum((F.col(f"c{c}") - F.lit(float(v))) ** 2 for c, v in zip(XYZ, centre, strict=True)))
-    got = cameras.select(d0.alias("d")).agg(F.count("*").alias("n"), F.expr("percentile(d, 0.5)").alias("r")).first()
     spark = cameras.sparkSession
-    if got["n"] < 3 or not got["r"]:
+    r = quantile(cameras.select(d0.alias("d")), "d", 0.5) if len(cameras.select("image_id").take(3)) == 3 else None
+    if not r:
         return spark.createDataFrame([], "img_i long, img_j long, score double")
-    r = float(got["r"])
     far = max_ratio * r
     cell = lambda c: F.floor(F.col(f"c{c}") / F.lit(far))
     a = cameras.select(F.col("image_id").alias("img_i"), *(F.col(f"{p}{c}").alias(f"{p}a{c}") for p in "cd" for c in XYZ), *(cell(c).alias(f"k{c}") for c in XYZ))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkogram.operators.observations import dense_ids
+from sparkogram.operators.quantiles import quantile, quantiles
+
 
 def match_matrix(counts: DataFrame, value: str = "n_matches") -> DataFrame:
     """Symmetric matrix in long form (image_id, other_id, n)."""
@@ -33,8 +36,8 @@ def clamped_histogram(df: DataFrame, column: str, top: int, name: str) -> DataFr
 
 def clipped_histogram(df: DataFrame, column: str, bins: int, share: float = 0.99) -> DataFrame:
     """(bin, low, n) of a column clipped at a quantile."""
-    lim = df.agg(F.min(column).alias("lo"), F.expr(f"percentile({column}, {share})").alias("hi"))
-    c = df.join(F.broadcast(lim))
+    top = F.lit(quantile(df, column, share)).cast("double").alias("hi")
+    c = df.join(F.broadcast(df.agg(F.min(column).alias("lo"), top)))  # one row
     step = (F.col("hi") - F.col("lo")) / bins
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.try_divide(F.least(F.col(column), F.col("hi")) - F.col("lo"), step))))
     return c.groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin"), "lo", "hi").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("low"), "n")
@@ -75,9 +78,9 @@ def unpivot_stages(stats: DataFrame, id_column: str, stages: list[str]) -> DataF
 
 
 def ranked_pairs(counts: DataFrame) -> DataFrame:
-    """Pairs in order of matches; one row per image pair."""
-    order = W.orderBy(F.desc("n_matches"), "img_i", "img_j")
-    return counts.withColumn("rank", F.row_number().over(order))
+    """Pairs in order of matches, ranked without a task that sorts them all."""
+    keyed = counts.withColumn("_key", F.struct((-F.col("n_matches")).alias("n"), "img_i", "img_j"))
+    return dense_ids(keyed, "_key", "rank").drop("_key").withColumn("rank", F.col("rank") + 1)
 
 
 def greedy_pairs(ranked: DataFrame, n_pairs: int = 12, per_image: int = 2, considered: int = 5000) -> DataFrame:
@@ -148,10 +151,9 @@ def roll_up(checks: DataFrame) -> DataFrame:
 def distance_summary(d: DataFrame, column: str, spacing: float | None = None) -> DataFrame:
     """One row: mean, median, rms, p95, max of finite distances, and in units of the spacing."""
     x = F.col(column)
-    out = d.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.expr(f"percentile({column}, 0.5)").alias("median"), F.sqrt(F.avg(x * x)).alias("rms"),
-        F.expr(f"percentile({column}, 0.95)").alias("p95"), F.max(x).alias("max"),
-    )
+    finite = d.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    median, p95 = (F.lit(v).cast("double") for v in quantiles(finite, {column: [0.5, 0.95]})[column])
+    out = finite.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), median.alias("median"), F.sqrt(F.avg(x * x)).alias("rms"), p95.alias("p95"), F.max(x).alias("max"))
     if spacing:
         out = out.select("*", *((F.col(c) / F.lit(spacing)).alias(f"{c}_spacings") for c in ("mean", "median", "rms", "p95", "max")))
     return out

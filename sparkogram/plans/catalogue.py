@@ -609,12 +609,6 @@ def ranked_pairs(spark, sf_dir):
     return longs(R.ranked_pairs(M.pair_counts(mutual(spark, sf_dir))))
 
 
-@query()
-def greedy_pairs_le2(spark, sf_dir):
-    """At most two pairs per image, in rank order."""
-    return R.greedy_pairs(ranked_pairs(spark, sf_dir), 6, 2)
-
-
 @query("""WITH p AS (SELECT embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz,
   2 * embedding[2]::DOUBLE + 1 AS tx, 2 * embedding[1]::DOUBLE - 1 AS ty, embedding[4]::DOUBLE AS tz FROM embeddings)
 SELECT count(*) AS n, round(avg(sx), 6) AS msx, round(avg(sy), 6) AS msy, round(avg(sz), 6) AS msz, round(avg(tx), 6) AS mtx, round(avg(ty), 6) AS mty, round(avg(tz), 6) AS mtz,

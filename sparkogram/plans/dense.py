@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkogram.functions.geometry import project
+from sparkogram.operators.quantiles import quantile, quantiles
 
 XYZ = ("x", "y", "z")
 
@@ -18,10 +21,10 @@ def neighbour_pairs(cameras: DataFrame, covisibility: DataFrame, points: DataFra
     The baseline is at least ``min_baseline`` of the median distance of centres
     from their median, and at most ``max_ratio`` of the depth of the scene.
     """
-    centre = cameras.agg(*(F.expr(f"percentile(c{c}, 0.5)").alias(f"m{c}") for c in XYZ))
-    spread = cameras.join(F.broadcast(centre)).select(F.sqrt(sum((F.col(f"c{c}") - F.col(f"m{c}")) ** 2 for c in XYZ)).alias("d"))
-    s = spread.agg(F.expr("percentile(d, 0.5)").alias("s")).first()["s"] or 0.0
-    mid = points.agg(*(F.expr(f"percentile({c}, 0.5)").alias(c) for c in XYZ)).first()
+    centre = quantiles(cameras, {f"c{c}": [0.5] for c in XYZ})
+    spread = cameras.select(F.sqrt(sum((F.col(f"c{c}") - F.lit(centre[f"c{c}"][0]).cast("double")) ** 2 for c in XYZ)).alias("d"))
+    s = quantile(spread, "d", 0.5) or 0.0
+    mid = {c: q[0] for c, q in quantiles(points, {c: [0.5] for c in XYZ}).items()}
     a = cameras.select(F.col("image_id").alias("img_i"), *(F.col(f"c{c}").alias(f"a{c}") for c in XYZ))
     b = cameras.select(F.col("image_id").alias("img_j"), *(F.col(f"c{c}").alias(f"b{c}") for c in XYZ))
     both = covisibility.select(F.col("img_a").alias("img_i"), F.col("img_b").alias("img_j"), "n_shared")
@@ -83,28 +86,57 @@ def valid_disparity(disparity: str, low: float, z: str, depth: str):
 
 def scene_filter(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """Dense points within three times the 98th percentile radius of the sparse cloud's median centre."""
-    mid = sparse.agg(F.count("*").alias("n"), *(F.expr(f"percentile({c}, 0.5)").alias(f"m{c}") for c in XYZ)).first()
-    if mid["n"] < 8:
+    if len(sparse.take(8)) < 8:
         r = dense.select(F.sqrt(sum(F.col(c) ** 2 for c in XYZ)).alias("d"))
-        limit = 10 * (r.agg(F.expr("percentile(d, 0.5)").alias("m")).first()["m"] or 0.0)
+        limit = 10 * (quantile(r, "d", 0.5) or 0.0)
         return dense.where(F.sqrt(sum(F.col(c) ** 2 for c in XYZ)) < limit)
-    d = F.sqrt(sum((F.col(c) - F.lit(float(mid[f"m{c}"]))) ** 2 for c in XYZ))
-    q = sparse.select(d.alias("d")).agg(F.expr("percentile(d, 0.98)").alias("q")).first()["q"]
+    mid = quantiles(sparse, {c: [0.5] for c in XYZ})
+    d = F.sqrt(sum((F.col(c) - F.lit(mid[c][0])) ** 2 for c in XYZ))
+    q = quantile(sparse.select(d.alias("d")), "d", 0.98)
     return dense.where(d <= 3 * q)
 
 
+#: Cameras that one pass over the points holds (21 numbers each).
+BLOCK = 20_000
+
+
 def depth_consistent(points: DataFrame, cameras: DataFrame, min_views: int = 2) -> DataFrame:
-    """Points (pid, x, y, z) that project into at least ``min_views`` images; one small row per camera is broadcast.
+    """Points (pid, x, y, z) that project into at least ``min_views`` images.
 
-    The camera table has a row per photo of one reconstruction; its size is checked
-    by the planner through the broadcast threshold, as no hint is given.
+    A narrow pass counts, for a batch of points at a time, the cameras that see
+    them: matrix products against blocks of cameras, so no row per point and
+    camera is ever made.  Cameras come in blocks of BLOCK, each a pass of its own.
     """
-    total = cameras.count()
-    u, v, z = project([F.col(c) for c in XYZ], "R", "t", "K")
-    seen = points.join(cameras.select("image_id", "R", "t", "K"), F.lit(True)).withColumns({"_u": u, "_v": v, "_z": z})
-    inside = seen.where("_z > 0.01 and _u >= 0 and _v >= 0 and _u < 2 * K[2] and _v < 2 * K[5]")
-    kept = inside.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= min(min_views, total))
-    return points.join(kept.select("pid"), "pid", "left_semi")
+    rows = cameras.select("image_id", "R", "t", "K")
+    total = rows.count()
+    seen = points.withColumn("_n", F.lit(0).cast("long"))
+    blocks = -(-total // BLOCK)
+    for k in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("image_id"), F.lit(blocks)) == k) if blocks > 1 else rows
+        got = part.collect()
+        pose = [np.array([r[c] for r in got], float) for c in ("R", "t", "K")]
+        seen = seen.mapInArrow(_seen_batches([points.columns.index(c) for c in XYZ], *pose), seen.schema)
+    return seen.where(F.col("_n") >= min(min_views, total)).drop("_n")
+
+
+def _seen_batches(at: list[int], r: np.ndarray, t: np.ndarray, k: np.ndarray):
+    """mapInArrow function: adds to the last column how many of the cameras see the point."""
+    r, width, height = r.reshape(-1, 3, 3), 2 * k[:, 2], 2 * k[:, 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in at])
+            n = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+            for i in range(0, len(r), 256):
+                cam = np.einsum("cij,pj->cpi", r[i : i + 256], x) + t[i : i + 256, None]
+                z = cam[..., 2]
+                safe = np.where(np.abs(z) > 1e-9, z, 1e-9)
+                u = k[i : i + 256, 0, None] * cam[..., 0] / safe + k[i : i + 256, 2, None]
+                v = k[i : i + 256, 4, None] * cam[..., 1] / safe + k[i : i + 256, 5, None]
+                n += ((z > 0.01) & (u >= 0) & (v >= 0) & (u < width[i : i + 256, None]) & (v < height[i : i + 256, None])).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=batch.schema.names)
+
+    return run
 
 
 def capped(points: DataFrame, most: int, seed: int = 0) -> DataFrame:

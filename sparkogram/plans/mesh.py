@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkogram.operators import cloud as C
 from sparkogram.operators import mesh as X
 from sparkogram.operators import reports as R
+from sparkogram.operators.quantiles import quantile
 from sparkogram.plans import backends
 from sparkogram.plans.config import EXTENT, PRESETS, Config
 from sparkogram.runtime import cut
@@ -115,7 +116,7 @@ def trim(vertices: DataFrame, faces: DataFrame, cloud: DataFrame, spacing: float
         out = out | (F.col(c) < box[f"lo{c}"] - edge) | (F.col(c) > box[f"hi{c}"] + edge)
     v = vertices.join(near.select(F.col("qid").alias("vid"), far.alias("_far")), "vid")
     if "density" in vertices.columns:
-        q = vertices.agg(F.expr(f"percentile(density, {preset['density_threshold']})").alias("q")).first()["q"]
+        q = quantile(vertices, "density", preset["density_threshold"])
         v = v.withColumn("_thin", F.col("density") < q)
     else:
         v = v.withColumn("_thin", F.lit(False))

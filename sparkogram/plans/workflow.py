@@ -88,12 +88,13 @@ def close_loops(out: Outcome, keypoints: DataFrame, cfg: Config) -> DataFrame:
     return cut(observations.upsert(out.verified, fresh, ["img_i", "img_j"]), "closed")
 
 
-def run(keypoints: DataFrame, cfg: Config, K: np.ndarray, known_focal: bool = True, matches: DataFrame | None = None, vectors: DataFrame | None = None, image_hash: str = "") -> Outcome:
+def run(keypoints: DataFrame, cfg: Config, K: np.ndarray, known_focal: bool = True, matches: DataFrame | None = None, vectors: DataFrame | None = None, image_hash: str = "", names: DataFrame | None = None) -> Outcome:
     """Match, verify, reconstruct, close loops, filter and summarise.
 
     ``keypoints``: image_id, kp_id, x, y [, descriptor].  ``matches`` skips
     matching.  With ``checkpoint_dir`` and ``resume`` matches are taken from there
-    when they belong to the same image set and options.
+    when they belong to the same image set and options.  ``names`` (image_id,
+    image_name) are the photo names of the camera export, else ids stand for them.
     """
     spark: SparkSession = keypoints.sparkSession
     seconds: dict[str, float] = {}
@@ -153,7 +154,10 @@ def run(keypoints: DataFrame, cfg: Config, K: np.ndarray, known_focal: bool = Tr
     out.summary["reprojection"] = observations.error_summary(err, cfg.max_reproj_error).first().asDict()
     out.summary |= {"n_cameras": out.cameras.count(), "n_points": out.points.count(), "stages": seconds}
     if cfg.export_cameras:
-        named = out.cameras.withColumn("image_name", F.col("image_id").cast("string"))
+        if names is None:
+            named = out.cameras.withColumn("image_name", F.col("image_id").cast("string"))
+        else:
+            named = out.cameras.join(names.select("image_id", "image_name"), "image_id")
         write_cameras(named, cfg.export_cameras, **out.summary)
     return out
 
