@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,6 +35,8 @@ from sparkogram.llm.textops import pieces, tidy, worker_table
 #: Beyond this many entries a worker forgets the words that the last group of texts did not have.
 CACHE_WORDS = 300_000
 CACHE_PAIRS = 200_000
+#: Longer words are forgotten after their group, so that the entries bound the bytes.
+LONG_WORD = 64
 #: Texts, and bytes of text, whose new words share one trie.
 GROUP = 2048
 GROUP_BYTES = 4 << 20
@@ -75,10 +78,10 @@ def _check(spec: dict) -> None:
 
 
 class TrieBPE:
-    """Vocabulary tables and the traversal."""
+    """Vocabulary tables and the traversal; a known word has its ids packed, or written out with their texts."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, packed: bool = False):
+        self.path, self.packed = path, packed
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -109,7 +112,7 @@ class TrieBPE:
         self.tokens = {s: self.order[i] for s, i in self.vocab.items() if self._reachable(self.order[i])}
         self._index_suffixes()
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, bytes] | dict[str, tuple[int, str, str]] = {}
         self.library = None
 
     def _index_suffixes(self) -> None:
@@ -255,13 +258,16 @@ class TrieBPE:
                 form[w] = w
             else:
                 form[w] = w.encode().decode("latin-1").translate(self.alphabet)
-        ids, text = self.encode_words(set(form.values())), self.text
-        for w, f in form.items():
-            got = ids[f]
-            self.known[w] = (len(got), " ".join(map(str, got)), " ".join([text[t] for t in got]))
+        ids = self.encode_words(set(form.values()))
+        self.known.update((w, self._entry(ids[f])) for w, f in form.items())
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str]]]:
-        """Per text the (number of ids, ids as text, tokens as text) of its words."""
+    def _entry(self, ids: list[int]) -> bytes | tuple[int, str, str]:
+        if self.packed:
+            return array("i", ids).tobytes()
+        return len(ids), " ".join(map(str, ids)), " ".join([self.text[t] for t in ids])
+
+    def encode_batch(self, texts: list[str | None]) -> Iterator[list]:
+        """Per text its words' entries: the ids as 32-bit bytes, or (number of ids, ids as text, tokens as text)."""
         known = self.known
         for at in range(0, len(texts), GROUP):
             split, seen = [], set()
@@ -276,12 +282,14 @@ class TrieBPE:
                 seen.update(row)
             fresh = seen.difference(known)
             special = {w for w in fresh if w[0] == _ADDED}
-            known.update((w, (1, str(self.added[w[1:]]), w[1:])) for w in special)
+            known.update((w, self._entry([self.added[w[1:]]])) for w in special)
             self._learn(fresh - special)
             for row in split:
                 yield [known[w] for w in row]
+            for w in [w for w in fresh if len(w) > LONG_WORD]:
+                del known[w]
             if len(known) > CACHE_WORDS:
-                kept = {w: known[w] for w in seen} if 2 * len(seen) < CACHE_WORDS else {}
+                kept = {w: known[w] for w in seen if w in known} if 2 * len(seen) < CACHE_WORDS else {}
                 known.clear()
                 known.update(kept)
 
@@ -294,11 +302,14 @@ class TrieBPE:
 _KEEPS = "bpe"
 
 
-def coder(path: str) -> TrieBPE:
-    """The worker's coder, made anew for another file."""
-    got = worker_table(_KEEPS, lambda: TrieBPE(path))
+def coder(path: str, packed: bool = False) -> TrieBPE:
+    """The worker's coder, made anew for another file; its words are forgotten for another form of entries."""
+    got = worker_table(_KEEPS, lambda: TrieBPE(path, packed))
     if got.path != path:
-        got.__init__(path)
+        got.__init__(path, packed)
+    elif got.packed != packed:
+        got.packed = packed
+        got.known.clear()
     return got
 
 
@@ -306,13 +317,14 @@ def encode_batches(path: str):
     """mapInArrow function: (doc_id, text) to (doc_id, n_tokens, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
+        bpe = coder(path, packed=True)
         for part in pieces(batches, 1, most=GROUP_BYTES, rows=GROUP):
-            ids = [np.array(" ".join([s for _, s, _ in row]).split(), dtype=np.int32) for row in bpe.encode_batch(part.column(1).to_pylist())]
-            size = [len(x) for x in ids]
+            ids = [b"".join(row) for row in bpe.encode_batch(part.column(1).to_pylist())]
+            size = [len(x) // 4 for x in ids]
             offsets = pa.array(np.cumsum([0, *size]).astype(np.int32))
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))],
+                [part.column(0), pa.array(size, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
                 names=["doc_id", "n_tokens", "ids"],
             )
 

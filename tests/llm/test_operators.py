@@ -467,6 +467,17 @@ def test_bpe_forgets_words_without_changing_results(monkeypatch):
     small = list(bpe_trie.TrieBPE(tokenizer_path()).encode_batch(texts))
     monkeypatch.undo()
     assert small == list(bpe_trie.TrieBPE(tokenizer_path()).encode_batch(texts))
+    packed = bpe_trie.TrieBPE(tokenizer_path(), packed=True)
+    ids = [np.frombuffer(b"".join(row), np.int32).tolist() for row in packed.encode_batch(texts)]
+    assert ids == [[int(i) for _, one, _ in row for i in one.split()] for row in small]
+
+
+def test_bpe_keeps_no_long_words():
+    texts = ["a" + "bc" * 400 + " short", "<|endoftext|> a" + "bc" * 400, "short"]
+    bpe = bpe_trie.TrieBPE(tokenizer_path())
+    first = list(bpe.encode_batch(texts))
+    assert max(map(len, bpe.known)) <= bpe_trie.LONG_WORD
+    assert first == list(bpe.encode_batch(texts))
 
 
 # ---- chats -----------------------------------------------------------------------------------
